@@ -25,16 +25,13 @@ def message_keys(feed: DataFrame) -> DataFrame:
     pageid, revid and timestamp (null equals null), to the lowest ``rcid`` where several have; if no row of
     that place has an ``rcid``, the place itself is the identifier.
     """
-    place = F.xxhash64(*[F.col(c) for c in PLACE]), F.concat_ws(
-        "\x1f",
-        *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in PLACE[:3]],
-        F.coalesce(F.unix_micros("timestamp").cast("string"), F.lit("\x00")),
-    )
+    parts = [*[F.col(c).cast("string") for c in PLACE[:3]], F.unix_micros("timestamp").cast("string")]
+    place = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in parts]).alias("place")
     slim = feed.select("delivery_id", "rcid", *PLACE)
     known = slim.where(F.col("rcid").isNotNull())
-    blank = slim.where(F.col("rcid").isNull()).select("delivery_id", place[1].alias("place"))
+    blank = slim.where(F.col("rcid").isNull()).select("delivery_id", place)
     owner = (
-        known.select(place[1].alias("place"), "rcid")
+        known.select(place, "rcid")
         .join(blank.select("place").distinct(), "place", "left_semi")
         .groupBy("place")
         .agg(F.min("rcid").alias("rcid"))

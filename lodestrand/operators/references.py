@@ -41,31 +41,29 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     ``parents`` has id, storedAt, tombstonedAt (epoch milliseconds) and deleted (null means false). A null
     time is never before ``storedAt``, nor is any time before a null ``storedAt``; a deleted parent orphans a
     reference at or after ``tombstonedAt``, and always if either time is null. Null keys are no references.
-    Of several parent rows of one id any that holds the reference suffices; empty tables are allowed.
+    Of several parent rows of one id the one stored last counts; empty tables are allowed.
     """
     removed = F.coalesce(F.col("deleted"), F.lit(False))
     keys = references.select("pageid").distinct()
-    present = parents.where(F.col("id").isNotNull()).select(
-        F.col("id").alias("pageid"),
-        (F.col("storedAt") * 1000).alias("stored"),
-        removed.alias("removed"),
-        F.when(removed, F.col("tombstonedAt") * 1000).alias("gone"),
+    stored, gone = F.col("storedAt") * 1000, F.when(removed, F.col("tombstonedAt") * 1000)
+    present = (
+        parents.where(F.col("id").isNotNull())
+        .groupBy(F.col("id").alias("pageid"))
+        .agg(F.max(F.struct(stored.alias("stored"), removed.alias("removed"), gone.alias("gone"))).alias("p"))
+        .select("pageid", "p.*")
     )
-    missing = keys.join(present.select("pageid"), "pageid", "left_anti").withColumn("span", F.lit(None).cast("array<struct<stored:bigint,removed:boolean,gone:bigint>>"))
-    held = (
-        present.join(keys, "pageid", "left_semi")
-        # a live parent without storedAt holds every reference: it decides nothing
-        .groupBy("pageid")
-        .agg(F.collect_set(F.struct("stored", "removed", "gone")).alias("span"))
-    )
-    holds = lambda p: ~(
-        F.coalesce(F.col("at") < p["stored"], F.lit(False))
-        | (p["removed"] & (F.col("at").isNull() | p["gone"].isNull() | (F.col("at") >= p["gone"])))
+    missing = keys.join(present, "pageid", "left_anti").select("pageid", F.lit(True).alias("missing"))
+    held = present.join(keys, "pageid", "left_semi").withColumn("missing", F.lit(False))
+    at = F.col("at")
+    orphan = (
+        F.col("missing")
+        | F.coalesce(at < F.col("stored"), F.lit(False))
+        | (F.col("removed") & (at.isNull() | F.col("gone").isNull() | (at >= F.col("gone"))))
     )
     return (
-        references.join(held.unionByName(missing), "pageid")
-        .where(F.col("span").isNull() | ~F.exists("span", holds))
-        .select("source_table", month_of(F.col("at")).alias("period"), "row_id")
+        references.join(held.unionByName(missing, allowMissingColumns=True), "pageid")
+        .where(orphan)
+        .select("source_table", month_of(at).alias("period"), "row_id")
         .distinct()
     )
 
