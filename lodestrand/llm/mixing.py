@@ -4,7 +4,8 @@ Method: pivotal dependent rounding. A source that must give ``f`` times its size
 copies and one more with probability f - floor(f). The fractional probabilities of two documents meet and mass
 moves at random from one to the other until one of them is 0 or 1; the other goes on to meet the next. The
 expected copies of every document stay what they were, and the sum over a source is kept to within one
-document. Documents meet in order of size, so what moves is replaced by something of about the same size.
+document. Documents meet from the largest to the smallest, so what
+moves is replaced by something of about the same size and the residual is small.
 
 A bucket of at most LEAF documents is rounded in one task and leaves at most one fractional residual; the
 residuals of LEAF buckets meet in the next level, and so on: a reduction tree whose depth is the logarithm of
@@ -57,7 +58,7 @@ def _round_level(docs: DataFrame, seed: int, last: bool) -> DataFrame:
     """One level of the tree: every (source, bucket) is rounded; the open document stays fractional unless ``last``."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["tokens", "doc_id"], kind="stable", ignore_index=True)
+        frame = frame.sort_values(["tokens", "doc_id"], ascending=False, kind="stable", ignore_index=True)
         own = sum(map(ord, str(key[0]))) * 1_000_003 + int(key[1])
         p, rest = pivotal(frame["p"].to_numpy(), seed * 7919 + own)
         if last and rest >= 0:
