@@ -40,3 +40,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One test table; pruning and pushdown are left to Catalyst."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[int] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors once, for clusters that do not have it installed."""
+    import shutil
+    from pathlib import Path
+
+    key = id(spark.sparkContext)
+    if key not in _shipped:
+        _shipped.add(key)
+        root = Path(__file__).resolve().parents[1]
+        name = Path(tempfile.mkdtemp(prefix="lodestrand-zip-")) / "lodestrand_package"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(name), "zip", root.parent, root.name))
