@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrand.llm import confusables, mixing, neardup
+from lodestrand.llm import confusables, mixing, neardup, toxicity
 from lodestrand.llm import tokenize as tokenizer
 from lodestrand.llm.oracle import ORACLES  # noqa: F401
 from lodestrand.sources.work import table
@@ -54,6 +54,21 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an abusive, hateful or sexual passage."""
+    return toxicity.harmful_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document."""
+    return toxicity.harm_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))[0]
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rate per source."""
+    return toxicity.harmful_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_forms": p2_forms,
@@ -63,4 +78,7 @@ QUERIES = {
     "p7_counts": p7_counts,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
