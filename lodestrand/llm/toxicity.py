@@ -224,14 +224,33 @@ class Labelled:
         passage = np.cumsum(form == BREAK)
         self.doc_of = np.zeros(int(passage[-1]) + 1 if len(form) else 0, np.int64)
         self.doc_of[passage] = doc
-        every = [(h[w], np.flatnonzero(w)) for h, w in grams(form)]
-        hashed, place = (np.concatenate(x) for x in zip(*every, strict=True)) if every else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.names, number = np.unique(hashed, return_inverse=True)
-        self.number, self.row = number.astype(np.int64), passage[place] if len(form) else place
-        once = np.unique(self.number * self.size + doc[place]) if len(place) else self.number
-        of, in_doc = once // max(self.size, 1), once % max(self.size, 1)
-        self.in_bad = np.bincount(of, self.bad[in_doc], len(self.names))
-        self.in_ok = np.bincount(of, ~self.bad[in_doc], len(self.names))
+        # one order at a time, n-grams of a single document left out: this bounds the driver's memory
+        names, numbers, rows, in_bad, in_ok = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [], []
+        passage, doc, base = passage.astype(np.int32), doc.astype(np.int32), 0
+        for hashed, whole in grams(form):
+            place = np.flatnonzero(whole).astype(np.int32)
+            own, number = np.unique(hashed[whole], return_inverse=True)
+            del hashed, whole
+            once = np.unique(number * np.int64(self.size) + doc[place])
+            of, in_doc = once // self.size, once % self.size
+            counts = np.bincount(of, self.bad[in_doc], len(own)), np.bincount(of, ~self.bad[in_doc], len(own))
+            del once, of, in_doc
+            shared = counts[0] + counts[1] >= 2
+            renumber = np.where(shared, np.cumsum(shared) - 1 + base, -1).astype(np.int32)
+            number = renumber[number]
+            used = number >= 0
+            names.append(own[shared])
+            numbers.append(number[used])
+            rows.append(passage[place[used]])
+            in_bad.append(counts[0][shared])
+            in_ok.append(counts[1][shared])
+            base += int(shared.sum())
+        order = np.argsort(np.concatenate(names))
+        back = np.empty(base, np.int32)
+        back[order] = np.arange(base, dtype=np.int32)
+        self.names = np.concatenate(names)[order]
+        self.number, self.row = back[np.concatenate(numbers)] if base else numbers[0], np.concatenate(rows)
+        self.in_bad, self.in_ok = (np.concatenate([np.zeros(0), *x])[order] for x in (in_bad, in_ok))
         self.rate = np.log((self.in_bad + 0.5) / (self.bad.sum() + 1))
         self.lift = self.rate - np.log((self.in_ok + 0.5) / ((~self.bad).sum() + 1))
 
