@@ -170,9 +170,8 @@ def searchable_text(symbols: Column) -> Column:
 def typed_symbols(symbols: Column) -> Column:
     """One list of (kind, value, priority) in the order function, return-key, dependency, string."""
     lists = (("function", "functions"), ("return-key", "returnKeys"), ("dependency", "dependencies"), ("string", "strings"))
-    return F.concat(
-        *[
-            F.transform(symbols[name], lambda v, k=kind: F.struct(F.lit(k).alias("kind"), v.alias("value"), F.lit(PRIORITY[k]).alias("priority")))
-            for kind, name in lists
-        ]
-    )
+
+    def typed(kind: str, name: str) -> Column:
+        return F.transform(symbols[name], lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"), F.lit(PRIORITY[kind]).alias("priority")))
+
+    return F.concat(*[typed(kind, name) for kind, name in lists])

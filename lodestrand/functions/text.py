@@ -70,15 +70,18 @@ def latin_parts(run: Column) -> Column:
     return F.array_distinct(F.concat(whole, F.filter(pieces, lambda x: x != ""), grams(bare, 3, 4)))
 
 
-def latin_tokens(c: Column) -> Column:
-    """Parts of all Latin runs, distinct."""
-    return F.array_distinct(F.flatten(F.transform(latin_runs(c), latin_parts)))
+def latin_tokens(*forms: Column) -> Column:
+    """Parts of all Latin runs of the forms of a text, distinct; equal runs are cut once."""
+    runs = F.array_distinct(F.concat(*[latin_runs(c) for c in forms]))
+    return F.array_distinct(F.flatten(F.transform(runs, latin_parts)))
 
 
 def cjk_tokens(c: Column) -> Column:
-    """Single characters and pairs within each CJK run, distinct."""
-    runs = cjk_runs(c)
-    return F.array_distinct(F.flatten(F.transform(runs, lambda r: F.concat(grams(r, 1), grams(r, 2)))))
+    """Single characters and pairs within each CJK run, distinct: neighbours are paired over the whole text and
+    the distinct pairs that span a gap dropped."""
+    chars = F.split(F.regexp_replace(c, f"[^{CJK}]+", " "), "")
+    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
+    return F.filter(F.array_distinct(F.concat(chars, pairs)), lambda x: x.isNotNull() & (x != "") & ~x.contains(" "))
 
 
 @dataclass
@@ -130,7 +133,7 @@ class Analyzer:
     def document_tokens(self, c: Column) -> Column:
         """A5: distinct tokens of a document; null gives none."""
         normalized = self.normalize(c)
-        tokens = F.concat(self.words(normalized), cjk_tokens(normalized), latin_tokens(normalized), latin_tokens(self.fold(c)))
+        tokens = F.concat(self.words(normalized), cjk_tokens(normalized), latin_tokens(normalized, self.fold(c)))
         return F.coalesce(F.array_distinct(tokens), F.array().cast(EMPTY))
 
     # single strings, on the driver
