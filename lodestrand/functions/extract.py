@@ -43,7 +43,7 @@ def _decoded(entity: Column) -> Column:
     hexadecimal = body.startswith("#x")
     digits = F.when(hexadecimal, F.substring(body, F.lit(3), F.length(body))).otherwise(F.substring(body, F.lit(2), F.length(body)))
     digits = F.regexp_replace(digits, "^0+", "")
-    point = F.when(F.length(digits) <= 8, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits)).cast("long")
+    point = F.when(F.length(digits) <= 8, F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits)).try_cast("long")
     valid = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, point).otherwise(F.lit(32))), 8, "0")), "UTF-32")
     result = F.when(body.startswith("#"), F.when(valid, char).otherwise(entity))

@@ -24,8 +24,9 @@ EMPTY = "array<string>"
 
 
 def nfkc(c: Column) -> Column:
-    """Unicode NFKC."""
-    return F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
+    """Unicode NFKC; null stays null."""
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(True))
+    return F.when(c.isNotNull(), composed)
 
 
 def squeeze(c: Column) -> Column:

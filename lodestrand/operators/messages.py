@@ -53,31 +53,33 @@ class MessageStore:
     def __init__(self, spark: SparkSession, buckets: int, path: str | None = None):
         self.spark, self.buckets = spark, buckets
         self.path = path or fresh_path(spark, "messages")
-        self.tag = "lodestrand_run_" + uuid.uuid4().hex[:12]
-        self.runs: dict[str, str] = {}
-
-    def upsert(self, batch: DataFrame, name: str) -> None:
-        """Write one batch (columns key, delivery_id) as a sorted run; rows with a null key are refused upstream."""
-        run = self.runs.setdefault(name, f"{self.tag}_{len(self.runs)}")
-        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        (
+        self.name = "lodestrand_runs_" + uuid.uuid4().hex[:12]
+        self.started = False
+
+    def upsert(self, batch: DataFrame, run: str) -> None:
+        """Write one batch (columns key, delivery_id) as the sorted run of this name."""
+        rows = (
             batch.groupBy("key")
             .agg(F.min("delivery_id").alias("delivery_id"))
             .repartition(self.buckets, "key")
-            .write.mode("overwrite")
-            .bucketBy(self.buckets, "key")
-            .sortBy("key")
-            .option("path", f"{self.path}/{run}")
-            .saveAsTable(run)
+            .select("key", "delivery_id", F.lit(run).alias("run"))
         )
+        if self.started:  # replaces the files of this run only
+            mode = "spark.sql.sources.partitionOverwriteMode"
+            before = self.spark.conf.get(mode)
+            self.spark.conf.set(mode, "dynamic")
+            try:
+                rows.write.mode("overwrite").insertInto(self.name)
+            finally:
+                self.spark.conf.set(mode, before)
+        else:
+            writer = rows.write.partitionBy("run").bucketBy(self.buckets, "key").sortBy("key")
+            writer.option("path", self.path).saveAsTable(self.name)
+            self.started = True
 
     def compact(self) -> DataFrame:
-        """One row (key, delivery_id) per key over all runs."""
-        runs = [self.spark.table(r) for r in self.runs.values()]
-        merged = runs[0]
-        for r in runs[1:]:
-            merged = merged.unionByName(r)
-        return merged.groupBy("key").agg(F.min("delivery_id").alias("delivery_id"))
+        """One row (key, delivery_id) per key over all runs: bucket by bucket, without an exchange."""
+        return self.spark.table(self.name).groupBy("key").agg(F.min("delivery_id").alias("delivery_id"))
 
 
 def surplus_messages(feed: DataFrame, buckets: int | None = None) -> DataFrame:
