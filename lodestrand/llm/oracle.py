@@ -1,3 +1,18 @@
 """SQL for the queries of this subpackage that SQL can state on whole tables."""
 
-ORACLES: dict[str, str] = {}
+_BLANKS = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
+_BODIES = f"""b AS (SELECT id, regexp_replace(lower(content), '{_BLANKS}', '', 'g') AS t FROM pages WHERE content IS NOT NULL),
+m AS (SELECT id, t, min(id) OVER (PARTITION BY t) AS rep FROM b WHERE length(t) >= 200),
+g AS (SELECT DISTINCT rep, substr(t, CAST(i AS BIGINT), 5) AS gram FROM (SELECT rep, t, unnest(generate_series(1, length(t) - 4)) AS i FROM m WHERE id = rep)),
+n AS (SELECT rep, count(*) AS n FROM g GROUP BY rep),
+s AS (SELECT x.rep AS a, y.rep AS b, count(*) AS both FROM g x JOIN g y ON x.gram = y.gram AND x.rep < y.rep GROUP BY x.rep, y.rep),
+l AS (SELECT s.a, s.b FROM s JOIN n na ON na.rep = s.a JOIN n nb ON nb.rep = s.b WHERE 10 * s.both >= 7 * (na.n + nb.n - s.both))"""
+
+ORACLES: dict[str, str] = {
+    "p4_found": f"""WITH {_BODIES}, p AS (SELECT x.id AS i, y.id AS j FROM l JOIN m x ON x.rep = l.a JOIN m y ON y.rep = l.b
+UNION ALL SELECT x.id, y.id FROM m x JOIN m y ON x.rep = y.rep AND x.id < y.id)
+SELECT least(i, j) AS id_a, greatest(i, j) AS id_b FROM p""",
+    "p4_classes": f"""WITH {_BODIES}, d AS (SELECT rep, count(*) AS k FROM (SELECT a AS rep FROM l UNION ALL SELECT b FROM l) GROUP BY rep)
+SELECT m.id, m.rep AS class_id, coalesce(d.k, 0) AS links FROM m LEFT JOIN d ON d.rep = m.rep""",
+}
