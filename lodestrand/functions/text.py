@@ -66,9 +66,10 @@ def latin_parts(run: Column) -> Column:
     lower = F.lower(run)
     camel = F.regexp_replace(F.regexp_replace(run, "([a-z0-9])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     bare = F.regexp_replace(lower, "[^a-z0-9]", "")
+    threes = F.when(F.length(bare) >= 4, F.regexp_extract_all(bare, F.lit("(?=(...))"), F.lit(1))).otherwise(F.array().cast(EMPTY))
     whole = F.when(lower.rlike("[a-z0-9]"), F.array(lower)).otherwise(F.array().cast(EMPTY))
     pieces = F.concat(F.split(lower, "[._]+"), F.split(F.lower(camel), "[ ._]+"))
-    return F.array_distinct(F.concat(whole, F.filter(pieces, lambda x: x != ""), grams(bare, 3, 4)))
+    return F.array_distinct(F.concat(whole, F.filter(pieces, lambda x: x != ""), threes))
 
 
 def latin_tokens(*forms: Column) -> Column:
@@ -78,11 +79,15 @@ def latin_tokens(*forms: Column) -> Column:
 
 
 def cjk_tokens(c: Column) -> Column:
-    """Single characters and pairs within each CJK run, distinct: neighbours are paired over the whole text and
-    the distinct pairs that span a gap dropped."""
-    chars = F.split(F.regexp_replace(c, f"[^{CJK}]+", " "), "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
-    return F.filter(F.array_distinct(F.concat(chars, pairs)), lambda x: x.isNotNull() & (x != "") & ~x.contains(" "))
+    """Single characters and pairs within each CJK run, distinct; pairs overlap, so they are found by looking ahead."""
+    single = F.regexp_extract_all(c, F.lit(f"[{CJK}]"), F.lit(0))
+    pairs = F.regexp_extract_all(c, F.lit(f"(?=([{CJK}]{{2}}))"), F.lit(1))
+    return F.array_distinct(F.concat(single, pairs))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 @dataclass
@@ -104,7 +109,10 @@ class Analyzer:
 
     def normalize(self, c: Column) -> Column:
         """A1: NFKC, simplified characters, lower case, single blanks."""
-        folded = self.fold(c)
+        return self.normalize_folded(self.fold(c))
+
+    def normalize_folded(self, folded: Column) -> Column:
+        """``normalize`` of what ``fold`` gave."""
         if self.simplified:
             pairs = sorted(self.simplified.items())
             folded = F.translate(folded, "".join(chr(a) for a, _ in pairs), "".join(b for _, b in pairs))
@@ -133,9 +141,18 @@ class Analyzer:
 
     def document_tokens(self, c: Column) -> Column:
         """A5: distinct tokens of a document; null gives none."""
-        normalized = self.normalize(c)
-        tokens = F.concat(self.words(normalized), cjk_tokens(normalized), latin_tokens(normalized, self.fold(c)))
-        return F.coalesce(F.array_distinct(tokens), F.array().cast(EMPTY))
+        own = self.words(self.normalize(c)) if callable(self.segmenter) else None  # Python runs outside of ``let``
+
+        def tokens(folded: Column) -> Column:
+            def of(normalized: Column) -> Column:
+                words = F.array().cast(EMPTY) if own is not None else self.words(normalized)
+                return F.concat(words, cjk_tokens(normalized), latin_tokens(normalized, folded))
+
+            return let(self.normalize_folded(folded), of)
+
+        found = let(self.fold(c), tokens)
+        found = found if own is None else F.concat(own, found)
+        return F.coalesce(F.array_distinct(found), F.array().cast(EMPTY))
 
     # single strings, on the driver
 

@@ -10,8 +10,8 @@ from lodestrand.functions.extract import content_text
 from lodestrand.functions.rules import category, default_rules, parse_rules, rule_values
 from lodestrand.functions.text import CJK, Analyzer, fuzzy_budget
 from lodestrand.operators import search
-from lodestrand.operators.index import SearchIndex, apply_changes, build_index, corpus_stats, vocabulary
-from lodestrand.sources.work import fresh_path, spread, table
+from lodestrand.operators.index import META, SearchIndex, apply_changes, build_index, corpus_stats, vocabulary
+from lodestrand.sources.work import fresh_path, materialize, spread, table
 
 # SQL has no NFKC: the queries that are compared with SQL fold case only, the others do everything
 PLAIN = Analyzer(compatibility=False)
@@ -98,14 +98,16 @@ def content_search_prefix(spark, sf_dir):
 def page_content_search(spark, sf_dir):
     """Bodies extracted from wiki markup and JSON, everything on."""
     a = full(spark)
-    rows = titles(spark, sf_dir).where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull())
-    docs = rows.withColumn("text", content_text(F.col("contentModel"), F.col("content"))).where("text <> ''")
+    rows = spread(titles(spark, sf_dir)).where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull())
+    # the extracted texts are a derived table of their own: index and snippets read it
+    docs = materialize(rows.select("id", *META, content_text(F.col("contentModel"), F.col("content")).alias("text")), "extracted").where("text <> ''")
     return search.content_search(build_index(docs, "text", a), docs.select("id", "text"), "體溫計 渡口", a)
 
 
 def lua_search(spark, sf_dir):
     a = full(spark)
-    return search.lua_search(search.lua_documents(pages(spark, sf_dir)), "scalpel", a).withColumn("matches", F.to_json("matches"))
+    docs = materialize(search.lua_documents(spread(pages(spark, sf_dir))).select("id", *META, "symbols", "text"), "modules")
+    return search.lua_search(docs, "scalpel", a).withColumn("matches", F.to_json("matches"))
 
 
 def data_codes(spark, sf_dir) -> DataFrame:
