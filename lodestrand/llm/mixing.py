@@ -144,6 +144,7 @@ def mix_sources(
 def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
     """Per target source: share wanted and reached, documents and tokens available and used, most copies of one document."""
     vocabulary = options.get("vocabulary", VOCABULARY)
+    targets = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull())
     used = mix_sources(documents, targets, **options).groupBy("source").agg(
         F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies")
     )
