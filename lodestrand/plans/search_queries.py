@@ -58,7 +58,7 @@ def file_search(spark, sf_dir):
 
 
 def linear_multi_query(spark, sf_dir):
-    return search.linear_search_many(pages(spark, sf_dir), MANY, PLAIN)
+    return search.linear_search_many(pages(spark, sf_dir), MANY, PLAIN).withColumn("rank", F.col("rank").cast("long"))
 
 
 def title_ranked_search(spark, sf_dir):
@@ -139,7 +139,7 @@ def corpus_statistics(spark, sf_dir):
 
 
 def field_lengths(spark, sf_dir):
-    return body_index(spark, sf_dir)[0].stats.select("id", "field_len")
+    return body_index(spark, sf_dir)[0].stats.select("id", F.col("field_len").cast("long").alias("field_len"))
 
 
 def index_incremental_equals_rebuild(spark, sf_dir):
@@ -264,7 +264,7 @@ ORACLES = {
     "content_search_prefix": _ranked_sql(_D_SRC, _D_META, BODY_PREFIX, _body_boost(BODY_PREFIX)),
     "data_code_search": _DATA_SQL,
     "vocab_df": f"WITH {tokens_sql(_D_SRC)} SELECT term, count(*) AS df FROM tok GROUP BY term",
-    "corpus_statistics": f"WITH {tokens_sql(_D_SRC)} SELECT count(*) AS docs, round(avg(field_len), 6) AS avg_len, sum(field_len) AS postings FROM lens",
+    "corpus_statistics": f"WITH {tokens_sql(_D_SRC)} SELECT count(*) AS docs, round(avg(field_len), 6) AS avg_len, CAST(sum(field_len) AS BIGINT) AS postings FROM lens",
     "field_lengths": f"WITH {tokens_sql(_D_SRC)} SELECT id, field_len FROM lens",
     "index_incremental_equals_rebuild": f"WITH {tokens_sql(_T_SRC)} SELECT id, count(*) AS terms, min(term) AS first_term, max(term) AS last_term FROM tok GROUP BY id",
 }

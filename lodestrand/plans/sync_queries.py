@@ -189,5 +189,5 @@ SELECT coalesce(p.pageId, j.pageId) AS pageId, CASE WHEN p.pageId IS NULL THEN '
     "namespace_options": "SELECT namespace, max_by(namespaceName, id) AS name FROM pages GROUP BY namespace",
     "diagnostics_counts": """SELECT count(*) FILTER (NOT coalesce(deleted, false)) AS live, count(*) FILTER (coalesce(deleted, false)) AS deleted,
   count(*) FILTER (NOT coalesce(deleted, false) AND content IS NOT NULL) AS bodies, count(*) FILTER (NOT coalesce(deleted, false) AND content IS NOT NULL AND lower(contentModel) = 'scribunto') AS lua,
-  count(*) FILTER (coalesce(isRedirect, false)) AS redirects, coalesce(sum(strlen(content)), 0) AS bytes FROM pages""",
+  count(*) FILTER (coalesce(isRedirect, false)) AS redirects, CAST(coalesce(sum(strlen(content)), 0) AS BIGINT) AS bytes FROM pages""",
 }

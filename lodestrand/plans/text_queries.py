@@ -106,7 +106,7 @@ def corpus_profile(spark, sf_dir):
 
 def longest_docs(spark, sf_dir):
     """The 15 longest bodies."""
-    return _pages(spark, sf_dir).where("content is not null").select("id", F.length("content").alias("n")).orderBy(F.desc("n"), "id").limit(15)
+    return _pages(spark, sf_dir).where("content is not null").select("id", F.length("content").cast("long").alias("n")).orderBy(F.desc("n"), "id").limit(15)
 
 
 def latency_percentiles(spark, sf_dir):
@@ -176,7 +176,7 @@ SELECT r.run, list_sort(coalesce(list(p.term) FILTER (p.term IS NOT NULL), []))
     "json_rule_values": f"SELECT id, list_sort(list_distinct(list_filter([trim(content ->> '$.locales.zh-CN.name'), trim(content ->> '$.id')], lambda x: x <> ''))) AS found FROM (SELECT id, CASE WHEN json_valid(content) THEN content END AS content FROM pages WHERE {_BSON})",
     "lua_function_names": r"SELECT id, unnest(regexp_extract_all(content, 'function\s+([A-Za-z_][A-Za-z0-9_.:]*)\s*\(', 1)) AS name FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'scribunto' AND content IS NOT NULL",
     "syntax_counts": "SELECT " + ", ".join(f"count(*) FILTER (contains(content, {'chr(10) || ' if p[0] == chr(10) else ''}'{p.strip(chr(10)).replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in PATTERNS.items()) + " FROM pages",
-    "corpus_profile": "SELECT contentModel, count(DISTINCT id) AS pages, sum(length(content)) AS chars, count(*) FILTER (coalesce(content, '') = '') AS empty, CAST(ceil(count(*) / 50) AS BIGINT) AS batches FROM pages GROUP BY contentModel",
+    "corpus_profile": "SELECT contentModel, count(DISTINCT id) AS pages, CAST(sum(length(content)) AS BIGINT) AS chars, count(*) FILTER (coalesce(content, '') = '') AS empty, CAST(ceil(count(*) / 50) AS BIGINT) AS batches FROM pages GROUP BY contentModel",
     "longest_docs": "SELECT id, length(content) AS n FROM pages WHERE content IS NOT NULL ORDER BY n DESC, id LIMIT 15",
     "latency_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(value) FILTER (rn = least(floor(n * 0.5) + 1, n)) AS p50, max(value) FILTER (rn = least(floor(n * 0.95) + 1, n)) AS p95, max(value) AS worst FROM r GROUP BY event_type""",

@@ -1,7 +1,7 @@
 """Remote lists as Spark data source (S1 to S9, F26, M17, M18): pages of results by namespace.
 
 ``spark.dataSource.register(WikiSource)``, then ``spark.read.format("wiki_list").option("url", ...)``. One input
-partition per namespace follows the continuation of its list. The fetch function is a parameter, so that tests and other
+partition per namespace (one for the change log and for data documents) follows the continuation of its list. The fetch function is a parameter, so that tests and other
 transports need no network.
 """
 
@@ -11,7 +11,8 @@ import json
 import time
 import urllib.parse
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from datetime import datetime
 from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +20,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 # fixed values: parameters of every request
 COMMON = {"action": "query", "format": "json", "formatversion": "2", "maxlag": "5"}
 PAGE_SCHEMA = "pageid bigint, ns bigint, title string, redirect boolean, lastrevid bigint, contentmodel string"
+CHANGE_SCHEMA = (
+    "type string, ns bigint, title string, pageid bigint, revid bigint, old_revid bigint, rcid bigint, timestamp timestamp,"
+    " bot boolean, logtype string, logaction string, logparams map<string,string>"
+)
+DATA_SCHEMA = "source string, json string"
 
 
 class RemoteError(RuntimeError):
@@ -86,7 +92,58 @@ def pages_of(url: str, namespace: int, fetch: Callable[[str], dict] = fetch_json
             return
 
 
-class _Namespace(InputPartition):
+def changes_of(url: str, start: str, end: str, fetch: Callable[[str], dict] = fetch_json, size: int = 500) -> Iterator[tuple]:
+    """S3: the change log of a closed time range, oldest first, log parameters as strings."""
+    more: str | None = None
+    wanted = {"list": "recentchanges", "rcdir": "newer", "rcstart": start, "rcend": end, "rclimit": size, "rcprop": "ids|title|timestamp|flags|loginfo"}
+    while True:
+        answer = query(url, wanted | {"rccontinue": more}, fetch)
+        for c in answer.get("query", {}).get("recentchanges", []):
+            parameters = {k: v if isinstance(v, str) else json.dumps(v) for k, v in (c.get("logparams") or {}).items()} or None
+            when = parsedate(c.get("timestamp"))
+            yield (c.get("type"), c.get("ns"), c.get("title"), c.get("pageid"), c.get("revid"), c.get("old_revid"), c.get("rcid"), when, c.get("bot"), c.get("logtype"), c.get("logaction"), parameters)
+        more = answer.get("continue", {}).get("rccontinue")
+        if not more:
+            return
+
+
+def parsedate(text: str | None) -> datetime | None:
+    """An ISO time, None for none."""
+    return datetime.fromisoformat(text.replace("Z", "+00:00")) if text else None
+
+
+def info_of(url: str, ids: Sequence[int] = (), titles: Sequence[str] = (), fetch: Callable[[str], dict] = fetch_json, size: int = 50) -> Iterator[dict]:
+    """Information on pages by id, then by title, ``size`` a request; missing pages are marked ``missing``."""
+    for name, values in (("pageids", ids), ("titles", titles)):
+        for at in range(0, len(values), size):
+            answer = query(url, {"prop": "info", name: "|".join(map(str, values[at : at + size]))}, fetch)
+            yield from answer.get("query", {}).get("pages", [])
+
+
+def bodies_of(url: str, ids: Sequence[int], fetch: Callable[[str], dict] = fetch_json, size: int = 50) -> Iterator[tuple]:
+    """(pageid, missing, revid, contentmodel, content) of the latest revisions."""
+    for at in range(0, len(ids), size):
+        wanted = {"prop": "revisions", "rvprop": "ids|content", "rvslots": "main", "pageids": "|".join(map(str, ids[at : at + size]))}
+        for p in query(url, wanted, fetch).get("query", {}).get("pages", []):
+            revision = (p.get("revisions") or [{}])[0]
+            slot = revision.get("slots", {}).get("main", {})
+            if p.get("missing") or "content" in slot:
+                yield (p.get("pageid"), bool(p.get("missing")), revision.get("revid"), slot.get("contentmodel"), slot.get("content"))
+
+
+def data_of(url: str, keys: list[str] | None = None, fetch: Callable[[str], dict] = fetch_json, size: int = 500, most: int = 20) -> Iterator[tuple]:
+    """(source, json) of data documents, page by page until one is not full; more than ``most`` pages is an error."""
+    for page in range(1, most + 1):
+        wanted = {"page": page, "pagesize": size} | ({"keys": json.dumps({k: 1 for k in keys})} if keys else {})
+        answer = fetch(f"{url}?{urllib.parse.urlencode(wanted)}")
+        found = answer["_embedded"]
+        yield from ((d.get("_id"), json.dumps(d, ensure_ascii=False)) for d in found)
+        if answer.get("_returned", len(found)) < size:
+            return
+    raise RemoteError("toolong", f"more than {most} pages")
+
+
+class _Part(InputPartition):
     def __init__(self, number: int):
         self.number = number
 
@@ -96,21 +153,28 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self) -> list[InputPartition]:
-        return [_Namespace(int(n)) for n in self.options.get("namespaces", "0").split(",")]
+        if self.options.get("list", "pages") == "pages":
+            return [_Part(int(n)) for n in self.options.get("namespaces", "0").split(",")]
+        return [_Part(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return pages_of(self.options["url"], partition.number, size=int(self.options.get("size", "500")))
+        url, kind = self.options["url"], self.options.get("list", "pages")
+        if kind == "pages":
+            return pages_of(url, partition.number, size=int(self.options.get("size", "500")))
+        if kind == "changes":
+            return changes_of(url, self.options["start"], self.options["end"])
+        return data_of(url, self.options["keys"].split(",") if self.options.get("keys") else None)
 
 
 class WikiSource(DataSource):
-    """Format ``wiki_list``; options url, namespaces (comma-separated), size."""
+    """Format ``wiki_list``; options url, list (pages, changes or data), namespaces, size, start, end, keys."""
 
     @classmethod
     def name(cls) -> str:
         return "wiki_list"
 
     def schema(self) -> str:
-        return PAGE_SCHEMA
+        return {"pages": PAGE_SCHEMA, "changes": CHANGE_SCHEMA, "data": DATA_SCHEMA}[self.options.get("list", "pages")]
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

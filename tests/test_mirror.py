@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.operators import mirror
 from lodestrand.sources.store import Conflict, Incompatible, Manifest, Store
-from lodestrand.sources.wiki import RemoteError, WikiSource, pages_of, query, retry_after, retryable
+from lodestrand.sources.wiki import RemoteError, WikiSource, bodies_of, changes_of, data_of, info_of, pages_of, query, retry_after, retryable
 from lodestrand.streaming.feed import FeedMirror, read_feed
 
 EVENT = "delivery_id bigint, rcid bigint, type string, pageid bigint, revid bigint, title string, logtype string, logparams map<string,string>, timestamp timestamp"
@@ -107,31 +107,48 @@ def test_stream_counts_every_event_once(spark, tmp_path):
     assert m.events().count() == 21
 
 
-def test_connector_follows_continuation_and_retries():
-    answers = [
-        {"error": {"code": "maxlag", "info": "x"}},
-        {"query": {"pages": [{"pageid": 1, "ns": 0, "title": "a", "lastrevid": 5}]}, "continue": {"gapcontinue": "b"}},
-        {"query": {"pages": [{"pageid": 2, "ns": 0, "title": "b", "redirect": True}]}},
-    ]
-    urls, slept = [], []
+def served(*answers):
+    """A fetch function that gives the answers in turn, and the list of what was asked."""
+    urls = []
 
     def fetch(url):
         urls.append(url)
         return answers[len(urls) - 1]
 
-    assert query("u", {}, lambda u: {"ok": 1}) == {"ok": 1}
-    import lodestrand.sources.wiki as wiki
-
-    old, wiki.time.sleep = wiki.time.sleep, slept.append
-    try:
-        got = list(pages_of("http://h/api", 0, fetch=lambda u: fetch(u)))
-    except RemoteError:
-        got = list(pages_of("http://h/api", 0, fetch=lambda u: fetch(u)))
-    finally:
-        wiki.time.sleep = old
-    assert [g[0] for g in got] == [1, 2] and got[1][3] is True and "gapcontinue=b" in urls[-1]
+    return fetch, urls
+
+
+def test_connector_follows_continuation():
+    fetch, urls = served(
+        {"query": {"pages": [{"pageid": 1, "ns": 0, "title": "a", "lastrevid": 5}]}, "continue": {"gapcontinue": "b"}},
+        {"query": {"pages": [{"pageid": 2, "ns": 0, "title": "b", "redirect": True}]}},
+    )
+    got = list(pages_of("http://h/api", 0, fetch))
+    assert [g[0] for g in got] == [1, 2] and got[1][3] is True and "gapcontinue=b" in urls[1] and "maxlag=5" in urls[0]
+    change = {"type": "log", "rcid": 1, "timestamp": "2025-03-01T00:00:00Z", "logparams": {"target_title": "t", "target_ns": 0}}
+    fetch, urls = served({"query": {"recentchanges": [change]}, "continue": {"rccontinue": "x|1"}}, {"query": {"recentchanges": [{"type": "edit"}]}})
+    got = list(changes_of("u", "a", "b", fetch))
+    assert got[0][11] == {"target_title": "t", "target_ns": "0"} and got[0][7].year == 2025 and got[1][7] is None and "rccontinue=x" in urls[1]
+
+
+def test_connector_lookups():
+    fetch, urls = served({"query": {"pages": [{"pageid": 1}]}}, {"query": {"pages": [{"pageid": 2}]}}, {"query": {"pages": [{"title": "t", "missing": True}]}})
+    assert len(list(info_of("u", [1, 2], ["t"], fetch, size=1))) == 3 and "pageids=2" in urls[1] and "titles=t" in urls[2]
+    fetch, _ = served({"query": {"pages": [{"pageid": 1, "missing": True}, {"pageid": 2, "revisions": [{"revid": 9, "slots": {"main": {"content": "c"}}}]}, {"pageid": 3}]}})
+    assert list(bodies_of("u", [1, 2, 3], fetch)) == [(1, True, None, None, None), (2, False, 9, None, "c")]
+    fetch, urls = served({"_embedded": [{"_id": "a"}], "_returned": 1}, {"_embedded": []})
+    assert list(data_of("u", ["id"], fetch, size=1)) == [("a", '{"_id": "a"}')] and "keys=" in urls[0]
+    with pytest.raises(RemoteError):
+        list(data_of("u", None, lambda u: {"_embedded": [{}]}, size=1, most=2))
+
+
+def test_connector_retries():
+    slept = []
+    fetch, urls = served({"error": {"code": "maxlag"}}, {"error": {"code": "maxlag"}}, {"ok": 1})
+    assert query("u", {}, fetch, sleep=slept.append) == {"ok": 1} and slept == [0.5, 1.0] and len(urls) == 3
     with pytest.raises(RemoteError):
         query("u", {}, lambda u: {"error": {"code": "badtoken"}}, sleep=slept.append)
+    assert len(slept) == 2
 
 
 def test_connector_helpers():
