@@ -6,12 +6,17 @@ Nothing here keeps data on one executor only. The folder is the one the session
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_paths: list[str] = []
+
+
 def work_dir(spark: SparkSession) -> str:
     """Return the shared folder for intermediate tables, setting one only if the session has none."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -25,8 +30,19 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
-    return f"{work_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other run uses; what is written there goes when the driver's Python ends."""
+    path = f"{work_dir(spark)}/lodestrand/{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_clean)
+    _paths.append(path)
+    return path
+
+
+def _clean() -> None:
+    """Delete what this driver left in a mounted shared folder; other file systems need a lifetime rule of their own."""
+    for path in _paths:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -53,7 +69,6 @@ _shipped: set[int] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, for clusters that do not have it installed."""
-    import shutil
     from pathlib import Path
 
     key = id(spark.sparkContext)
