@@ -104,7 +104,9 @@ def test_stream_counts_every_event_once(spark, tmp_path):
     assert m.store.manifest().batch == 2 and m.events().count() == 20
     events(spark, [(100, 3, "edit", 1, 1, "p", None, None), (101, 500, "edit", 1, 1, "p", None, None)]).write.mode("append").parquet(src)
     m.run(read_feed(spark, src, e.schema, 1), str(tmp_path / "c"))
-    assert m.events().count() == 21
+    assert m.events().count() == 21 and len(m.store.manifest().tables["events"]) > 3
+    m.store.compact("events")
+    assert m.events().count() == 21 and len(m.store.manifest().tables["events"]) == 1
 
 
 def served(*answers):
