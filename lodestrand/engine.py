@@ -1,7 +1,7 @@
 """The engine as one object: a versioned mirror, its derived indexes and the five search modes.
 
-Facts (pages, files) and derived tables (token sets, code modules, data codes) live in one versioned store. Every
-change of facts is one commit with its sequence numbers; derived tables name the sequence they are good for and the
+Facts (pages, files) and derived tables (documents, postings, code modules, data codes) live in one versioned store. Every
+change of facts appends the changed rows with their sequence numbers in one commit; derived tables name the sequence they are good for and the
 contract they were made under, and are restored, brought up to date by replaying the rows above that
 sequence, or rebuilt. A refresh always equals a full rebuild.
 """
@@ -15,8 +15,9 @@ from lodestrand.functions.extract import content_text
 from lodestrand.functions.rules import Rules, category, default_rules, first_valid, parse_rules, rule_values
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators import mirror, search
-from lodestrand.operators.index import META, SearchIndex, tokenised
+from lodestrand.operators.index import META, SearchIndex
 from lodestrand.sources.store import Manifest, Store
+from lodestrand.sources.work import materialize
 
 MODES = ("title", "content", "lua", "data", "file")
 # fixed values: names and types of a stored row
@@ -38,10 +39,25 @@ class Engine:
 
     # facts
 
+    def parts(self, table: str, manifest: Manifest | None = None) -> DataFrame:
+        """All rows ever committed to ``pages`` or ``files``, older states of an id included."""
+        found = self.store.read(table, manifest)
+        return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ROW.items())) if found is None else found.select(*ROW)
+
+    @staticmethod
+    def latest(parts: DataFrame) -> DataFrame:
+        """The last state of every id: commits only append, and later ones have higher sequence numbers."""
+        return parts.groupBy("id").agg(F.max_by(F.struct(*list(ROW)[1:]), "localSeq").alias("r")).select("id", "r.*")
+
     def rows(self, table: str = "pages", manifest: Manifest | None = None) -> DataFrame:
         """Stored rows of ``pages`` or ``files``, tombstones included."""
-        found = self.store.read(table, manifest)
-        return self.spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in ROW.items())) if found is None else found
+        manifest = manifest or self.store.manifest()
+        parts = self.parts(table, manifest)
+        return parts if len(manifest.tables.get(table, [])) < 2 else self.latest(parts)
+
+    def compact(self, table: str = "pages") -> None:
+        """Rewrite the parts of a table as one, without older states."""
+        self.store.update(lambda base: ({table: self.rows(table, base)}, {}))
 
     @property
     def sequence(self) -> int:
@@ -74,17 +90,16 @@ class Engine:
         return merged.where(changed).select(*ROW)
 
     def _commit(self, table: str, change, batch: int | None = None) -> int:
-        """Commit the rows ``change(stored, manifest)`` gives, numbered in order of id; returns the sequence after."""
+        """Append the rows ``change(stored, manifest)`` gives, numbered in order of id; returns the sequence after."""
 
-        def apply(base: Manifest) -> tuple[dict[str, DataFrame], dict]:
-            stored = self.rows(table, base)
+        def apply(base: Manifest) -> tuple:
             start = base.state.get("local-sequence", 0)
-            numbered = mirror.assign_sequence(change(stored, base).drop("localSeq"), ["id"], start).select(*ROW)
+            changed = change(self.rows(table, base), base).drop("localSeq")
+            numbered = mirror.assign_sequence(changed, ["id"], start).select(*ROW)
             end = numbered.agg(F.max("localSeq")).first()[0]
             if end is None:
                 return {}, {}
-            kept = stored.join(numbered.select("id"), "id", "left_anti").select(*ROW)
-            return {table: kept.unionByName(numbered)}, {"local-sequence": end}
+            return {}, {"local-sequence": end}, {table: numbered}
 
         return self.store.update(apply, batch=batch).state.get("local-sequence", 0)
 
@@ -123,15 +138,23 @@ class Engine:
         """What a derived table depends on besides the facts."""
         return f"{kind}:{FORMATS}:{self.analyzer.engine}:{self.analyzer.compatibility}:{self.analyzer.segmenter if isinstance(self.analyzer.segmenter, str) else 'own'}"
 
-    def _derive(self, kind: str, rows: DataFrame) -> DataFrame:
+    def _derive(self, kind: str, rows: DataFrame) -> dict[str, DataFrame]:
+        """The derived tables of ``rows``: documents, and for title and content their postings."""
         meta = ["id", *META]
+        if kind == "lua":
+            return {kind: search.lua_documents(rows).select(*meta, "symbols", "text")}
+        live = search.live(rows)
         if kind == "title":
-            return tokenised(search.live(rows).select(*meta), "title", self.analyzer).withColumn("text", F.lit(None).cast("string"))
-        if kind == "content":
+            docs = live.select(*meta, F.lit(None).cast("string").alias("text"), F.col("title").alias("source"))
+        else:
             body = content_text(F.col("contentModel"), F.col("content"))
-            docs = search.live(rows).where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull()).select(*meta, body.alias("text")).where("text <> ''")
-            return tokenised(docs, "text", self.analyzer).join(docs.select("id", "text"), "id")
-        return search.lua_documents(rows).select(*meta, "symbols", "text")
+            bodies = live.where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull())
+            docs = materialize(bodies.select(*meta, body.alias("text")), "extracted").where("text <> ''").withColumn("source", F.col("text"))
+        tokens = materialize(docs.withColumn("tokens", self.analyzer.document_tokens(F.col("source"))), "tokens")
+        return {
+            kind: tokens.select(*meta, F.size("tokens").alias("field_len"), "text"),
+            f"{kind}.terms": tokens.select(F.explode_outer("tokens").alias("term"), "id").where(F.col("term").isNotNull()),
+        }
 
     def refresh(self, kind: str, rebuild: bool = False) -> str:
         """Bring a derived table (title, content or lua) up to the facts: current, replayed or rebuilt."""
@@ -139,30 +162,33 @@ class Engine:
 
         def change(base: Manifest) -> tuple[dict[str, DataFrame], dict]:
             through, key = base.state.get("local-sequence", 0), self._key(kind)
-            old = None if rebuild or base.state.get(f"{kind}.key") != key else self.store.read(kind, base)
-            if old is not None and old.count() != base.counts.get(kind):
-                old = None  # corrupt: facts are never touched, the index is made again
+            usable = not rebuild and base.state.get(f"{kind}.key") == key and kind in base.tables
+            # corrupt: facts are never touched, the index is made again
+            usable = usable and self.store.status(kind, 0) == "available"
             since = base.state.get(f"{kind}.through", 0)
-            done[:] = ["current" if old is not None and since == through else "rebuilt" if old is None else "replayed"]
+            done[:] = ["current" if usable and since == through else "replayed" if usable else "rebuilt"]
             if done == ["current"]:
                 return {}, {}
-            rows = self.rows("pages", base)
-            changed = rows if old is None else mirror.rows_after(rows, since)
-            fresh = self._derive(kind, changed)
-            if old is not None:
-                fresh = old.join(changed.select("id"), "id", "left_anti").select(*fresh.columns).unionByName(fresh)
-            return {kind: fresh}, {f"{kind}.through": through, f"{kind}.key": key}
+            # only rows above the sequence are read for a replay, the filter reaches the scan
+            changed = self.latest(mirror.rows_after(self.parts("pages", base), since)) if usable else self.rows("pages", base)
+            tables = self._derive(kind, changed)
+            for name, fresh in tables.items():
+                if usable:
+                    old = self.store.read(name, base)
+                    fresh = old.join(changed.select("id"), "id", "left_anti").select(*fresh.columns).unionByName(fresh)
+                if name.endswith(".terms"):  # sorted, so that a search reads the row groups of its terms only
+                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+                    fresh = fresh.repartitionByRange(n, "term").sortWithinPartitions("term", "id")
+                tables[name] = fresh
+            return tables, {f"{kind}.through": through, f"{kind}.key": key}
 
         self.store.update(change)
         return done[0]
 
     def index(self, kind: str) -> SearchIndex:
-        """The token table of ``title`` or ``content`` as index."""
-        tokens = self.store.read(kind)
-        return SearchIndex(
-            tokens.select(F.explode_outer("tokens").alias("term"), "id").where(F.col("term").isNotNull()),
-            tokens.select("id", F.size("tokens").alias("field_len"), *META),
-        )
+        """Postings and statistics of ``title`` or ``content``."""
+        found = self.store.manifest()
+        return SearchIndex(self.store.read(f"{kind}.terms", found), self.store.read(kind, found).select("id", "field_len", *META))
 
     def status(self, kind: str) -> str:
         """Missing, outdated, corrupt, replay-required or available."""

@@ -38,6 +38,9 @@ def test_life_of_a_mirror(spark, engine):
     assert found(engine.search("lua", "open")) == [] and found(engine.search("content", "bear")) == [2]
     engine.clear()
     assert engine.status("title") == "outdated" and engine.refresh("title") == "rebuilt"
+    before = sorted(map(tuple, engine.rows().collect()), key=lambda r: r[0])
+    engine.compact()
+    assert sorted(map(tuple, engine.rows().collect()), key=lambda r: r[0]) == before and len(engine.store.manifest().tables["pages"]) == 1
     d = engine.diagnostics()
     assert (d["pages"], d["tombstones"], d["bodies"], d["modules"], d["sequence"]) == (2, 1, 2, 0, 5)
 
