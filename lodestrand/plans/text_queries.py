@@ -180,5 +180,5 @@ SELECT r.run, list_sort(coalesce(list(p.term) FILTER (p.term IS NOT NULL), []))
     "longest_docs": "SELECT id, length(content) AS n FROM pages WHERE content IS NOT NULL ORDER BY n DESC, id LIMIT 15",
     "latency_percentiles": """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 SELECT event_type, max(value) FILTER (rn = least(floor(n * 0.5) + 1, n)) AS p50, max(value) FILTER (rn = least(floor(n * 0.95) + 1, n)) AS p95, max(value) AS worst FROM r GROUP BY event_type""",
-    "byte_sizes": "SELECT id, sha256(content) AS sha256, CASE WHEN strlen(content) < 1024 THEN strlen(content) || ' B' WHEN strlen(content) < 1048576 THEN format('{:.1f} KiB', strlen(content) / 1024.0) ELSE format('{:.1f} MiB', strlen(content) / 1048576.0) END AS size FROM pages WHERE content IS NOT NULL",
+    "byte_sizes": "SELECT id, sha256(content) AS sha256, CASE WHEN strlen(content) < 1024 THEN strlen(content) || ' B' WHEN strlen(content) < 1048576 THEN format('{:.1f} KiB', round(strlen(content) / 1024.0, 1)) ELSE format('{:.1f} MiB', round(strlen(content) / 1048576.0, 1)) END AS size FROM pages WHERE content IS NOT NULL",
 }
