@@ -52,16 +52,16 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(stored.alias("stored"), removed.alias("removed"), gone.alias("gone"))).alias("p"))
         .select("pageid", "p.*")
     )
-    missing = keys.join(present, "pageid", "left_anti").select("pageid", F.lit(True).alias("missing"))
-    held = present.join(keys, "pageid", "left_semi").withColumn("missing", F.lit(False))
+    # the anti join, kept as an outer join: unmatched keys are the missing ones, matched keys bring their times along
+    facts = keys.join(present, "pageid", "left").withColumn("missing", F.col("removed").isNull())
     at = F.col("at")
     orphan = (
         F.col("missing")
         | F.coalesce(at < F.col("stored"), F.lit(False))
-        | (F.col("removed") & (at.isNull() | F.col("gone").isNull() | (at >= F.col("gone"))))
+        | F.coalesce(F.col("removed") & (at.isNull() | F.col("gone").isNull() | (at >= F.col("gone"))), F.lit(False))
     )
     return (
-        references.join(held.unionByName(missing, allowMissingColumns=True), "pageid")
+        references.join(facts, "pageid")
         .where(orphan)
         .select("source_table", month_of(at).alias("period"), "row_id")
         .distinct()
