@@ -63,7 +63,7 @@ def wikitext_text(spark, sf_dir):
 
 def decode_entities(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.length(extract.decode_entities(F.col("text"))).alias("n"))
+    return d.select("doc_id", extract.decode_entities(F.col("text")).alias("decoded"))
 
 
 def json_tokens(spark, sf_dir):
@@ -148,13 +148,18 @@ def _wikitext_sql(c: str) -> str:
     ]
     for pattern, by in steps:
         c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
-    for name, by in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
-        c = f"regexp_replace({c}, '(?i)&{name};', '{by}', 'g')"
+    c = _entities_sql(c)
     for pattern, by in ((r"\{\{|\}\}|\{\||\|\}", " "), ("[|=]+", " "), ("''{2,}", ""), (r"(?m)^\s*[!*#:;]+", " "), (_BLANK, " ")):
         c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"
     return f"trim({c})"
 
 
+def _entities_sql(c: str) -> str:
+    for name, by in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("amp", "&")):
+        c = f"regexp_replace({c}, '(?i)&{name};', '{by}', 'g')"
+    return c
+
+
 _BSON = "NOT coalesce(deleted, false) AND lower(contentModel) = 'bson' AND content IS NOT NULL"
 _P = "SELECT id, title AS text FROM pages"
 _SORTED = "list_sort(coalesce(list(term) FILTER (term IS NOT NULL), []))"
@@ -173,6 +178,13 @@ SELECT r.run, list_sort(coalesce(list(p.term) FILTER (p.term IS NOT NULL), []))
     "doc_tokens": f"WITH {tokens_sql(_P)} SELECT src.id, {_SORTED} AS tokens FROM src LEFT JOIN tok ON tok.id = src.id GROUP BY src.id",
     "cjk_tokens": f"WITH {tokens_sql(_P)} SELECT src.id, {_SORTED} AS tokens FROM src LEFT JOIN (SELECT * FROM tok WHERE regexp_matches(term, '[{_CJK}]')) tok ON tok.id = src.id GROUP BY src.id",
     "wikitext_text": f"SELECT id, {_wikitext_sql('content')} AS text FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'wikitext' AND content IS NOT NULL",
+    # the documents hold no numeric references
+    "decode_entities": f"SELECT doc_id, {_entities_sql('text')} AS decoded FROM documents",
+    "json_tokens": f"""WITH t AS (SELECT p.id AS page, j.* FROM (SELECT id, content FROM pages WHERE {_BSON} AND json_valid(content)) p, json_tree(p.content) j),
+k AS (SELECT t.page, t.id AS pos, 0 AS part, t.key AS token FROM t JOIN t AS u ON u.page = t.page AND u.id = t.parent WHERE u.type = 'OBJECT'
+  UNION ALL SELECT page, id, 1, CASE WHEN type = 'DOUBLE' THEN regexp_replace(atom ->> '$', '\\.0+$', '') ELSE trim(atom ->> '$') END FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND trim(atom ->> '$') <> ''),
+f AS (SELECT page, token, min(pos * 2 + part) AS pos FROM k GROUP BY page, token)
+SELECT b.id, trim(regexp_replace(coalesce(string_agg(f.token, ' ' ORDER BY f.pos), ''), '\\s+', ' ', 'g')) AS text FROM (SELECT id FROM pages WHERE {_BSON}) b LEFT JOIN f ON f.page = b.id GROUP BY b.id""",
     "json_rule_values": f"SELECT id, list_sort(list_distinct(list_filter([trim(content ->> '$.locales.zh-CN.name'), trim(content ->> '$.id')], lambda x: x <> ''))) AS found FROM (SELECT id, CASE WHEN json_valid(content) THEN content END AS content FROM pages WHERE {_BSON})",
     "lua_function_names": r"SELECT id, unnest(regexp_extract_all(content, 'function\s+([A-Za-z_][A-Za-z0-9_.:]*)\s*\(', 1)) AS name FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'scribunto' AND content IS NOT NULL",
     "syntax_counts": "SELECT " + ", ".join(f"count(*) FILTER (contains(content, {'chr(10) || ' if p[0] == chr(10) else ''}'{p.strip(chr(10)).replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in PATTERNS.items()) + " FROM pages",
