@@ -155,3 +155,15 @@ def outer_repair(pages: DataFrame, jobs: DataFrame) -> DataFrame:
 def namespace_options(pages: DataFrame) -> DataFrame:
     """Namespaces with the name that the highest id has."""
     return pages.groupBy("namespace").agg(F.max_by("namespaceName", "id").alias("name"))
+
+
+def status_delta(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Change of the number of rows per status between two states of the changed rows."""
+    both = before.select("status", F.lit(-1).alias("n")).unionByName(after.select("status", F.lit(1).alias("n")))
+    return both.groupBy("status").agg(F.sum("n").alias("delta")).where("delta <> 0")
+
+
+def touches(changed: DataFrame, namespace: int) -> DataFrame:
+    """One row, whether any changed row was or is in a namespace (columns namespace and old_namespace)."""
+    hit = F.coalesce(F.col("namespace") == namespace, F.lit(False)) | F.coalesce(F.col("old_namespace") == namespace, F.lit(False))
+    return changed.agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("touched"))

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import mirror
-from lodestrand.sources.store import Conflict, Incompatible, Manifest, Store
+from lodestrand.sources.store import Conflict, Incompatible, Manifest, Store, validated
 from lodestrand.sources.wiki import RemoteError, WikiSource, bodies_of, changes_of, data_of, info_of, pages_of, query, retry_after, retryable
+from lodestrand.streaming import schedule
 from lodestrand.streaming.feed import FeedMirror, read_feed
 
 EVENT = "delivery_id bigint, rcid bigint, type string, pageid bigint, revid bigint, title string, logtype string, logparams map<string,string>, timestamp timestamp"
@@ -158,3 +159,25 @@ def test_connector_helpers():
     assert retry_after("5") == 5.0 and retry_after(None) is None and retry_after("x") is None
     assert retry_after("Thu, 01 Jan 1970 00:01:00 GMT", now=0) == 60.0
     assert WikiSource.name() == "wiki_list" and len(WikiSource({"namespaces": "0,4"}).reader(None).partitions()) == 2
+
+
+def test_manifest_shapes():
+    good = vars(Manifest(1, {"t": ["p"]}, {"t": 3}, {"x": 1}, {}, 0))
+    assert validated(good).counts == {"t": 3}
+    for broken in (None, [], {}, good | {"version": -1}, good | {"version": True}, good | {"tables": {"t": "p"}}, good | {"counts": {}}, good | {"counts": {"t": 1.5}}, good | {"batch": "1"}, good | {"format": 9}, good | {"more": 1}):
+        with pytest.raises(Incompatible):
+            validated(broken)
+
+
+def test_deltas_and_touches(spark):
+    rows = lambda *s: spark.createDataFrame([(x,) for x in s], "status string")
+    assert {tuple(r) for r in mirror.status_delta(rows("a", "a", "b"), rows("b", "b", "c")).collect()} == {("a", -2), ("b", 1), ("c", 1)}
+    changed = spark.createDataFrame([(0, 3500), (1, None)], "namespace bigint, old_namespace bigint")
+    assert mirror.touches(changed, 3500).first()[0] and not mirror.touches(changed, 9).first()[0] and not mirror.touches(changed.limit(0), 0).first()[0]
+
+
+def test_schedule():
+    d = schedule.DAY
+    assert schedule.fresh(5, 1, d) and not schedule.fresh(0, 1, d) and not schedule.fresh(5, 0, 6) and not schedule.fresh(None, 1, 6) and not schedule.fresh(5, 1, 6, False)
+    assert [schedule.scan_reason(*a) for a in ((True, 0, None, None), (False, d, None, 0), (False, d, 1, 0), (False, d, 1, 1))] == ["manual", "scheduled", "gap", None]
+    assert schedule.next_due(10, 5, 4, lambda: 0.5) == 17
