@@ -74,26 +74,37 @@ def band_of(total: float) -> int:
     return math.floor(math.log(total) / math.log(RATIO) + 1e-9)
 
 
-def signatures(tokens: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(band, value) of every non-empty part in all bands where a partner can lie."""
-    n = len(tokens)
-    bands, values = [], []
-    for band in range(band_of(n * (1 + threshold)), band_of(n * (1 + 1 / threshold)) + 1):
+def signatures(bodies: list[np.ndarray], threshold: float) -> list[np.ndarray]:
+    """Values of every non-empty part in all bands where a partner can lie, for each body's tokens.
+
+    Bodies of one band are worked on together, so that the cost is that of the tokens.
+    """
+    by_band: dict[int, list[int]] = {}
+    for i, tokens in enumerate(bodies):
+        n = len(tokens)
+        for band in range(band_of(n * (1 + threshold)), band_of(n * (1 + 1 / threshold)) + 1):
+            by_band.setdefault(band, []).append(i)
+    owners, values = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for band, members in by_band.items():
         parts, wanted = band_plan(band, threshold)
+        tokens = np.concatenate([bodies[i] for i in members])
+        slot = np.repeat(np.arange(len(members)), [len(bodies[i]) for i in members])
         done = 0
         while done < wanted:
             seed = mix(np.array([band * 4096 + done + 1], np.uint64) * _SEED)[0]
             hashed = mix(tokens ^ seed)
-            part = ((hashed >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)
+            part = (((hashed >> np.uint64(33)) * np.uint64(parts)) >> np.uint64(31)).astype(np.int64)
             use = min(parts, wanted - done)
-            keep = part < use
-            xored = np.zeros(use, np.uint64)
-            np.bitwise_xor.at(xored, part[keep].astype(np.int64), mix(hashed[keep] + _SEED))
+            keep = slice(None) if use == parts else np.flatnonzero(part < use)
+            xored = np.zeros(len(members) * use, np.uint64)
+            np.bitwise_xor.at(xored, slot[keep] * use + part[keep], mix(hashed[keep] + _SEED))
             filled = np.flatnonzero(xored)
-            values.append(mix(xored[filled] + mix(filled.astype(np.uint64) + seed)))
-            bands.append(np.full(len(filled), band, np.int16))
+            values.append(mix(xored[filled] + mix((filled % use).astype(np.uint64) + seed)))
+            owners.append(np.asarray(members)[filled // use])
             done += use
-    return np.concatenate(bands), np.concatenate(values).view(np.int64)
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.split(np.concatenate(values)[order].view(np.int64), np.cumsum(np.bincount(owner, minlength=len(bodies)))[:-1])
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -145,23 +156,17 @@ def near_duplicates(
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for at in range(0, len(frame), 512):
-                out = []
-                for rep, text in zip(frame["rep"][at : at + 512], frame["text"][at : at + 512], strict=True):
-                    tokens = tokens_of(compact_body(text), width)
-                    bands, values = signatures(tokens, threshold)
-                    out.append((rep, len(tokens), sketch(tokens), bands, values))
-                yield pd.DataFrame(out, columns=["rep", "n", "words", "bands", "sigs"])
-
-    described = texts.mapInPandas(describe, "rep long, n int, words array<long>, bands array<short>, sigs array<long>")
-    described = materialize(described, "sketches")
-    parts = described.select("rep", "n", F.explode(F.arrays_zip("bands", "sigs")).alias("x")).select(
-        F.col("x.sigs").alias("sig"), F.col("x.bands").alias("band"), "rep", "n"
-    )
+                part = frame.iloc[at : at + 512]
+                bodies = [tokens_of(compact_body(t), width) for t in part["text"]]
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "n": list(map(len, bodies)), "words": list(map(sketch, bodies)), "sigs": signatures(bodies, threshold)})
+
+    described = materialize(texts.mapInPandas(describe, "rep long, n int, words array<long>, sigs array<long>"), "sketches")
+    # a value is made under its band, so equal values are of one band
+    parts = described.select("rep", "n", F.explode("sigs").alias("sig"))
     total = F.col("n_a") + F.col("n_b")
     shares = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b") - 1e-9
-    in_band = F.floor(F.log(total.cast("double")) / math.log(RATIO) + 1e-9) == F.col("band")
-    a, b = (parts.select("sig", "band", F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
-    met = a.join(b, ["sig", "band"]).where((F.col("rep_a") < F.col("rep_b")) & in_band & shares).select("rep_a", "rep_b").distinct()
+    a, b = (parts.select("sig", F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    met = a.join(b, "sig").where((F.col("rep_a") < F.col("rep_b")) & shares).select("rep_a", "rep_b").distinct()
 
     sketches = described.select("rep", "n", *[F.col("words")[i].alias(w) for i, w in enumerate(words)])
     sa, sb = (sketches.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", *words)]) for s in "ab")

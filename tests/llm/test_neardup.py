@@ -69,8 +69,8 @@ def test_miss_rate_at_the_threshold():
             shared = int(np.ceil(0.7 * 2 * n / 1.7))
             pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
-            met = set(zip(*map(np.ndarray.tolist, neardup.signatures(a, 0.7)), strict=True)) & set(zip(*map(np.ndarray.tolist, neardup.signatures(b, 0.7)), strict=True))
-            missed += not met
+            one, two = neardup.signatures([a, b], 0.7)
+            missed += not set(one.tolist()) & set(two.tolist())
     assert missed <= 1
 
 
@@ -78,5 +78,8 @@ def test_long_and_tiny_texts():
     assert len(neardup.tokens_of("a", 5)) == 1
     assert len(neardup.tokens_of("ab" * 500_000, 5)) == 2
     for n in (1, 2, 3, 7):
-        bands, values = neardup.signatures(np.arange(1, n + 1, dtype=np.uint64), 0.7)
-        assert len(bands) == len(values) > 0
+        assert len(neardup.signatures([np.arange(1, n + 1, dtype=np.uint64)], 0.7)[0]) > 0
+    alone = [neardup.signatures([neardup.tokens_of(t, 5)], 0.7)[0] for t in ("first body", "a second, longer body")]
+    together = neardup.signatures([neardup.tokens_of(t, 5) for t in ("first body", "a second, longer body")], 0.7)
+    assert [set(x.tolist()) for x in alone] == [set(x.tolist()) for x in together]
+    assert neardup.signatures([], 0.7)[0].size == 0
