@@ -105,7 +105,7 @@ def plain_text(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     form = np.where(digit, 48, form)
     form = np.where((form == ord("@")) | (form == ord("$")), BLANK, form)
     # blanks between Chinese characters and between single letters are disguise; runs of one character are one, but
-    # numbers, whose digits all became 0, keep their length unless a digit is repeated as written
+    # numbers, whose digits all become 0, keep their length (runs are those of the text as written)
     two_left, two_right = np.append([BREAK, BREAK], form[:-2]), np.append(form[2:], [BREAK, BREAK])
     edge = lambda x: (x == BLANK) | (x == BREAK)
     apart = (form == BLANK) & l_lat & r_lat & edge(two_left) & edge(two_right)

@@ -22,7 +22,7 @@ def plain(table, text):
 
 @pytest.mark.parametrize(
     "disguised,clear",
-    [("脑.残", "脑残"), ("廢物", "废物"), ("ｉｄｉｏｔ", "idiot"), ("1d1ot", "idiot"), ("i d i o t", "idiot"), ("iіdіot", "idiot"), ("id​iot", "idiot"), ("idiooot", "idiot"), ("ídiöt", "idiot"), ("a 12345 b", "a 98765 b"), ("a 77 b", "a 7 b")],
+    [("脑.残", "脑残"), ("廢物", "废物"), ("ｉｄｉｏｔ", "idiot"), ("1d1ot", "idiot"), ("i d i o t", "idiot"), ("iіdіot", "idiot"), ("id​iot", "idiot"), ("idiooot", "idiot"), ("ídiöt", "idiot"), ("a 12345 b", "a 98765 b")],
 )
 def test_disguises(table, disguised, clear):
     assert plain(table, disguised) == plain(table, clear)
