@@ -36,6 +36,7 @@ CATEGORIES = ("abusive", "hateful", "sexual")
 ORDERS = (2, 3, 4, 6)
 LIMIT = 6_000  # labelled documents used for fitting
 ORDINARY = 4_000  # passages of accepted documents without a telling n-gram used for fitting
+SUPPORT = 2  # rejected documents that must hold an n-gram, the same for a sample of any size
 BITS = 22  # size of the filter in front of the feature list
 DROP, BREAK, BLANK = 0, 1, 32
 # fixed values: digits and signs that stand for letters inside a word
@@ -256,8 +257,8 @@ class Labelled:
         self.lift = self.rate - np.log((self.in_ok + 0.5) / ((~self.bad).sum() + 1))
 
     def candidates(self) -> np.ndarray:
-        """Numbers of the n-grams that rejected documents hold far more often than accepted ones."""
-        return np.flatnonzero((self.in_bad >= np.clip(self.bad.sum() // 200, 2, 3)) & (self.lift > 2.0))
+        """Numbers of the n-grams that at least SUPPORT rejected documents hold, far more often than accepted ones do."""
+        return np.flatnonzero((self.in_bad >= SUPPORT) & (self.lift > 2.0))
 
     def telling(self, counts: np.ndarray | None = None, total: int = 0) -> np.ndarray:
         """Mask of the telling n-grams; ``counts`` are the candidates' document frequencies in ``total`` documents."""

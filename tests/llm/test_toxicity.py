@@ -61,6 +61,22 @@ def test_held_out_accuracy(table):
     assert (found & bad).sum() / found.sum() > 0.95 and (found & bad).sum() / bad.sum() > 0.95
 
 
+def test_support_does_not_depend_on_the_number_of_labels(table):
+    rare = "blorvexity qumpelstrand"
+    for n in (300, 3000):  # about 90 and 900 rejected documents
+        texts, truth = corpus(11, n)
+        texts, truth = [*texts, rare + " one", rare + " two"], [*truth, "abusive", "abusive"]
+        labelled = X.Labelled(texts, noisy(truth[:-2], 12) + [{"abusive"}] * 2, table)
+        (data, offsets), = X._chunks(pa.array([rare], pa.string()))
+        hashed = np.unique(np.concatenate([h[whole] for h, whole in X.grams(X.plain_text(data, offsets, table)[0])]))
+        chosen = labelled.candidates()
+        own = np.flatnonzero(np.isin(labelled.names, hashed) & (labelled.in_bad == 2) & (labelled.in_ok == 0))
+        assert len(own) and np.isin(own, chosen).all(), n
+        counts = (labelled.in_bad + labelled.in_ok)[chosen]
+        model = X.fit_chain(labelled, labelled.telling(counts, len(texts)))
+        assert X.score_texts([rare], model, table)[0, -1] > 0, n
+
+
 def test_spark_equals_direct_scoring_and_defined_cases(spark, table):
     texts, truth = corpus(3, 600)
     rows = [(i, t, "s" if i % 2 else None, "extra") for i, t in enumerate(texts)] + [(1000, None, "s", "x"), (1001, "", "s", "x"), (1002, " \n\n ", "s", "x"), (1003, "long text. " * 100_000 + INSULTS["abusive"][0], "s", "x"), (5, texts[5], "s", "x")]
