@@ -2,20 +2,49 @@
 
 Method: an idempotent upsert into hash-bucketed, sorted storage by identifier. A batch is collapsed while
 it is shuffled to its buckets (partial ``min`` per identifier, so a hot identifier arrives as one row per
-map task), written as one sorted run, and compaction merges the sorted runs of a bucket so that equal
-identifiers collapse to one. Compaction reads bucket by bucket and needs no exchange.
+map task) and written as one sorted run; a feed is written as RUNS runs, by batch_id. Nothing is collapsed across
+runs before compaction, which merges the runs of a bucket so that equal identifiers collapse to one. Compaction
+reads bucket by bucket; only rows without an identifier of their own, which are looked up by their place among
+the stored rows of all runs, are exchanged.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.sources.work import fresh_path
 
 PLACE = ["type", "pageid", "revid", "timestamp"]
+RUNS = 4  # runs that a feed is written as
+
+
+def place_of() -> Column:
+    """type, pageid, revid and timestamp as one string; null equals null."""
+    parts = [*[F.col(c).cast("string") for c in PLACE[:3]], F.unix_micros("timestamp").cast("string")]
+    return F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in parts])
+
+
+def batch_keys(batch: DataFrame, *keep: str | Column) -> DataFrame:
+    """delivery_id, place and ``keep`` of every row, with what is known of ``key`` from the row alone: its rcid, else @ and its place."""
+    slim = batch.select("delivery_id", "rcid", place_of().alias("place"), *keep)
+    return slim.withColumn("key", F.coalesce(F.col("rcid").cast("string"), F.concat(F.lit("@"), "place"))).drop("rcid")
+
+
+def _resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, delivery_id) of the rows (key, place, delivery_id) with an rcid, and of those without, with the lowest rcid of their place."""
+    is_blank = F.col("key").startswith("@")
+    known, blank = rows.where(~is_blank), rows.where(is_blank)
+    owner = (
+        known.select("place", F.col("key").cast("long").alias("rcid"))
+        .join(blank.select("place").distinct(), "place", "left_semi")
+        .groupBy("place")
+        .agg(F.min("rcid").cast("string").alias("owner"))
+    )
+    found = blank.join(owner, "place", "left").select("delivery_id", F.coalesce("owner", "key").alias("key"))
+    return known.select("delivery_id", "key"), found
 
 
 def message_keys(feed: DataFrame) -> DataFrame:
@@ -25,44 +54,36 @@ def message_keys(feed: DataFrame) -> DataFrame:
     pageid, revid and timestamp (null equals null), to the lowest ``rcid`` where several have; if no row of
     that place has an ``rcid``, the place itself is the identifier.
     """
-    parts = [*[F.col(c).cast("string") for c in PLACE[:3]], F.unix_micros("timestamp").cast("string")]
-    place = F.concat_ws("\x1f", *[F.coalesce(c, F.lit("\x00")) for c in parts]).alias("place")
-    slim = feed.select("delivery_id", "rcid", *PLACE)
-    known = slim.where(F.col("rcid").isNotNull())
-    blank = slim.where(F.col("rcid").isNull()).select("delivery_id", place)
-    owner = (
-        known.select(place, "rcid")
-        .join(blank.select("place").distinct(), "place", "left_semi")
-        .groupBy("place")
-        .agg(F.min("rcid").alias("rcid"))
-    )
-    return known.select("delivery_id", F.col("rcid").cast("string").alias("key")).unionByName(
-        blank.join(owner, "place", "left").select(
-            "delivery_id", F.coalesce(F.col("rcid").cast("string"), F.concat(F.lit("@"), "place")).alias("key")
-        )
-    )
+    known, blank = _resolved(batch_keys(feed))
+    return known.unionByName(blank)
 
 
 class MessageStore:
-    """Runs of ``(key, delivery_id)`` in ``buckets`` hash buckets, each run sorted by key.
+    """Runs of ``(key, place, delivery_id)`` in ``buckets`` hash buckets, each run sorted by key.
 
     ``upsert`` may be repeated with the same batch name: the run is replaced, not doubled. ``compact``
-    gives one row per key, the one with the lowest ``delivery_id``.
+    gives one row per key, the one with the lowest ``delivery_id``. Batches from ``batch_keys`` are resolved by
+    ``compact``, so it does not matter in which batch the rcid of a place arrives.
     """
 
     def __init__(self, spark: SparkSession, buckets: int, path: str | None = None):
         self.spark, self.buckets = spark, buckets
         self.path = path or fresh_path(spark, "messages")
         self.name = "lodestrand_runs_" + uuid.uuid4().hex[:12]
-        self.started = False
-
-    def upsert(self, batch: DataFrame, run: str) -> None:
-        """Write one batch (columns key, delivery_id) as the sorted run of this name."""
+        self.started = self.placed = False
+
+    def upsert(self, batch: DataFrame, run: str | Column) -> None:
+        """Write one batch (columns key, delivery_id and, from ``batch_keys``, place) as the sorted run of this name,
+        or several as runs named by a column."""
+        placed = "place" in batch.columns
+        self.placed |= placed
+        place = F.col("place") if placed else F.lit(None).cast("string")
         rows = (
-            batch.groupBy("key")
+            batch.select("key", "delivery_id", place.alias("place"), (F.lit(run) if isinstance(run, str) else run).alias("run"))
+            .groupBy("run", "key", "place")
             .agg(F.min("delivery_id").alias("delivery_id"))
             .repartition(self.buckets, "key")
-            .select("key", "delivery_id", F.lit(run).alias("run"))
+            .select("key", "delivery_id", "place", "run")
         )
         if self.started:  # replaces the files of this run only
             mode = "spark.sql.sources.partitionOverwriteMode"
@@ -78,28 +99,34 @@ class MessageStore:
             self.started = True
 
     def compact(self) -> DataFrame:
-        """One row (key, delivery_id) per key over all runs: bucket by bucket, without an exchange."""
-        return self.spark.table(self.name).groupBy("key").agg(F.min("delivery_id").alias("delivery_id"))
+        """One row (key, delivery_id) per key over all runs: bucket by bucket, without an exchange of rows that have an rcid."""
+        runs = self.spark.table(self.name).select("key", "place", "delivery_id")
+        if not self.placed:
+            return runs.groupBy("key").agg(F.min("delivery_id").alias("delivery_id"))
+        known, blank = (x.groupBy("key").agg(F.min("delivery_id").alias(n)) for x, n in zip(_resolved(runs), ("a", "b"), strict=True))
+        return known.join(blank, "key", "full").select("key", F.least("a", "b").alias("delivery_id"))
+
+
+def _stored(feed: DataFrame, buckets: int | None) -> MessageStore:
+    """``feed`` as RUNS runs by batch_id, one without that column."""
+    spark = feed.sparkSession
+    store = MessageStore(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+    run = F.pmod(F.xxhash64("batch_id"), F.lit(RUNS)) if "batch_id" in feed.columns else F.lit(0)
+    store.upsert(batch_keys(feed.where(F.col("delivery_id").isNotNull()), run.cast("string").alias("run")), F.col("run"))
+    return store
 
 
 def surplus_messages(feed: DataFrame, buckets: int | None = None) -> DataFrame:
     """delivery_id of every row of ``feed`` that is not the kept copy (lowest ``delivery_id``) of its message.
 
     An empty feed gives an empty result; rows with a null ``delivery_id`` cannot be told apart and are left
-    out; all columns but rcid, delivery_id, type, pageid, revid and timestamp are ignored.
+    out; all columns but rcid, delivery_id, batch_id, type, pageid, revid and timestamp are ignored.
     """
-    spark = feed.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     feed = feed.where(F.col("delivery_id").isNotNull())
-    store = MessageStore(spark, buckets)
-    store.upsert(message_keys(feed), "feed")
-    kept = store.compact().select("delivery_id")
+    kept = _stored(feed, buckets).compact().select("delivery_id")
     return feed.select("delivery_id").join(kept, "delivery_id", "left_anti")
 
 
 def keep_one_copy(feed: DataFrame, buckets: int | None = None) -> DataFrame:
     """The rows of ``feed`` without the surplus copies, all columns kept."""
-    spark = feed.sparkSession
-    store = MessageStore(spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    store.upsert(message_keys(feed.where(F.col("delivery_id").isNotNull())), "feed")
-    return feed.join(store.compact().select("delivery_id"), "delivery_id", "left_semi")
+    return feed.join(_stored(feed, buckets).compact().select("delivery_id"), "delivery_id", "left_semi")

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta, timezone
 import pytest
 
 from lodestrand.operators.change_feed import apply_change_feed
+from lodestrand.operators import messages
 from lodestrand.operators.messages import MessageStore, keep_one_copy, message_keys, surplus_messages
 from lodestrand.operators.references import change_references, job_references, month_of, orphan_counts, orphan_references
 from lodestrand.operators.snapshots import snapshot_changes
@@ -126,6 +127,18 @@ def test_message_store_is_idempotent(spark):
     assert "Exchange" not in one.compact()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_message_batches_find_each_other(spark):
+    first, second = [event(1, None, page=1), event(2, None, page=2)], [event(3, 7, page=1), event(4, None, page=2), event(5, 7, page=1)]
+    for order in ((first, second), (second, first)):
+        store = MessageStore(spark, 3)
+        for name, rows in zip("ab", order, strict=True):
+            store.upsert(messages.batch_keys(feed(spark, rows)), name)
+        assert sorted(r.delivery_id for r in store.compact().collect()) == [1, 2]
+    store = messages._stored(feed(spark, [(*event(i, 7)[:1], i, *event(i, 7)[2:]) for i in range(1, 41)]), 3)
+    assert spark.table(store.name).count() == spark.table(store.name).select("run").distinct().count() == messages.RUNS
+    assert [r.delivery_id for r in store.compact().collect()] == [1]
+
+
 SCAN = "seenInReconciliation bigint, id bigint, title string, namespace bigint, isRedirect boolean, revisionId bigint, contentModel string, deleted boolean, localSeq bigint, n int, new boolean"
 
 
