@@ -132,6 +132,7 @@ def look_alike_pairs(rows: DataFrame, id_column: str, columns: list[str]) -> Dat
     )
 
 
-def look_alike_classes(rows: DataFrame, id_column: str, column: str) -> DataFrame:
-    """One row per row of ``rows``: its id, its text and the consistent form of it."""
-    return with_skeleton(rows.select(F.col(id_column).alias("id"), F.col(column).alias("text")), "text")
+def look_alike_classes(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """(id, column, text, skeleton): one row per row of ``rows`` and name in ``columns``, its text and the consistent form of it."""
+    texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])).alias("x")
+    return with_skeleton(rows.select(F.col(id_column).alias("id"), texts).select("id", "x.column", "x.text"), "text")

@@ -19,8 +19,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The consistent form of every title."""
-    return confusables.look_alike_classes(table(spark, sf_dir, "pages"), "id", "title")
+    """The consistent form of every title and normalised title."""
+    return confusables.look_alike_classes(table(spark, sf_dir, "pages"), "id", ["title", "normalizedTitle"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import itertools
 import pytest
 
 from lodestrand.llm.confusables import look_alike_pairs, skeleton_of, tables, with_skeleton
+from lodestrand.llm.queries import p2_forms
 
 
 @pytest.fixture(scope="module")
@@ -51,3 +52,10 @@ def test_pairs_against_brute_force(spark, skeleton):
 def test_null_stays_null(spark):
     df = spark.createDataFrame([(None, 1), ("", 2), ("Ａ", 3)], "t string, skeleton_of int")
     assert [r.skeleton for r in with_skeleton(df, "t").collect()] == [None, "", "A"]
+
+
+def test_forms_of_both_columns(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Ｔorch", "tоrch"), (2, "Rope", None)], "id bigint, title string, normalizedTitle string")
+    df.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.id, r["column"]): (r.text, r.skeleton) for r in p2_forms(spark, str(tmp_path)).collect()}
+    assert got == {(1, "title"): ("Ｔorch", "Torch"), (1, "normalizedTitle"): ("tоrch", "torch"), (2, "title"): ("Rope", "Rope"), (2, "normalizedTitle"): (None, None)}
