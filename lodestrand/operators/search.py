@@ -8,8 +8,8 @@ document has all, is decided inside the plan, not by a second query.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import operator
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +21,7 @@ from lodestrand.operators.index import SearchIndex, build_index
 # our choice, after Lv and Zhai, Lower-Bounding Term Frequency Normalization (CIKM 2011)
 K, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
-MOST_TERMS = 62
+TERMS_A_MASK = 62
 DIGITS = 6
 
 
@@ -65,6 +65,12 @@ def linear_search_many(rows: DataFrame, queries: Sequence[str], analyzer: Analyz
     return hits.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
+def _joined(op: Callable[[Column, Column], Column], parts: Sequence[Column]) -> Column:
+    """``parts`` joined by ``op`` pairwise, so that an expression over many terms stays flat enough to be analysed."""
+    half = len(parts) // 2
+    return op(_joined(op, parts[:half]), _joined(op, parts[half:])) if half else parts[0]
+
+
 def _term_weights(terms: Sequence[str], fuzzy: bool) -> list[tuple[Column, Column]]:
     """Per query term, whether a vocabulary term matches it and with what weight."""
     out = []
@@ -86,26 +92,28 @@ def _term_weights(terms: Sequence[str], fuzzy: bool) -> list[tuple[Column, Colum
 def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy: bool = False, relax: bool = True) -> DataFrame:
     """Stats columns and base ``score`` of the documents with all ``terms``, or with any if none has all and ``relax``."""
     terms = list(dict.fromkeys(terms))
-    if len(terms) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} query terms")
     stats = in_namespace(index.stats, namespace)
     if not terms:
         return stats.withColumn("score", F.lit(0.0)).where(F.lit(False))
     weights = _term_weights(terms, fuzzy)
-    matched = index.postings.where(reduce(lambda a, b: a | b, (m for m, _ in weights)))
+    matched = index.postings.where(_joined(operator.or_, [m for m, _ in weights]))
     size = index.stats.agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))  # one row
     df = matched.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
-    weight = reduce(lambda a, b: a + b, (F.when(m, w).otherwise(0.0) for m, w in weights))
-    bits = reduce(lambda a, b: a.bitwiseOR(b), (F.when(m, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (m, _) in enumerate(weights)))
+    weight = _joined(operator.add, [F.when(m, w).otherwise(0.0) for m, w in weights])
+    # which terms a document has, as many masks as they need
+    masks = {}
+    for at in range(0, len(weights), TERMS_A_MASK):
+        parts = [F.when(m, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, (m, _) in enumerate(weights[at : at + TERMS_A_MASK])]
+        masks[f"bits{len(masks)}"] = _joined(Column.bitwiseOR, parts)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms_hit = df.select("term", (idf * weight).alias("gain"), bits.alias("bits"))
-    hits = matched.join(terms_hit, "term").groupBy("id").agg(F.sum("gain").alias("gain"), F.expr("bit_or(bits)").alias("bits"))
+    terms_hit = df.select("term", (idf * weight).alias("gain"), *[bits.alias(n) for n, bits in masks.items()])
+    hits = matched.join(terms_hit, "term").groupBy("id").agg(F.sum("gain").alias("gain"), *[F.bit_or(n).alias(n) for n in masks])
     length = (K + 1) / (1 + F.lit(K) * (1 - B + F.lit(B) * F.col("field_len") / F.col("avg_len"))) + DELTA
-    hits = hits.join(stats, "id").crossJoin(F.broadcast(size)).withColumn("score", F.col("gain") * length).withColumn("hit", F.bit_count("bits"))
+    hits = hits.join(stats, "id").crossJoin(F.broadcast(size)).withColumn("score", F.col("gain") * length).withColumn("hit", _joined(operator.add, [F.bit_count(n) for n in masks]))
     if not relax or len(terms) == 1:
-        return hits.where(F.col("hit") == len(terms)).drop("gain", "bits", "hit", "n_docs", "avg_len")
+        return hits.where(F.col("hit") == len(terms)).drop("gain", *masks, "hit", "n_docs", "avg_len")
     most = hits.agg(F.max("hit").alias("most"))  # one row
-    return hits.crossJoin(F.broadcast(most)).where((F.col("hit") == len(terms)) | (F.col("most") < len(terms))).drop("gain", "bits", "hit", "n_docs", "avg_len", "most")
+    return hits.crossJoin(F.broadcast(most)).where((F.col("hit") == len(terms)) | (F.col("most") < len(terms))).drop("gain", *masks, "hit", "n_docs", "avg_len", "most")
 
 
 def _top(hits: DataFrame, score: Column, limit: int | None, *extra: str) -> DataFrame:

@@ -35,6 +35,17 @@ def test_linear(spark, analyzer):
     assert {(r.query, r.id, r["rank"]) for r in many} == {("鹿", 3, 1), ("鹿", 1, 2), ("opu", 2, 1)}
 
 
+def test_queries_of_any_length(spark, analyzer):
+    many = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    assert len(set(analyzer.query_tokens(analyzer.normalize_text(many)))) > 62
+    p = pages(spark, analyzer, (1, many, 0, None), (2, many[:30], 0, None), (3, many[::-1], 0, None), (4, "x", 0, None))
+    index = build_index(p, "title", analyzer)
+    terms = analyzer.query_tokens(analyzer.normalize_text(many))
+    assert ids(search.ranked_hits(index, terms)) == [1]
+    assert sorted(ids(search.ranked_hits(index, [*terms, "zzz"]))) == [1, 2, 3]
+    assert ids(search.title_search(index, many, analyzer)) == [1]
+
+
 def test_ranked_titles(spark, analyzer):
     p = pages(spark, analyzer, (1, "12号鹿弹", 0, None), (2, "12号霰弹弹盒", 0, None), (3, "鹿弹", 0, None), (4, "模块:Popups", 828, None), (5, "医用级兴奋剂", 0, None))
     index = build_index(p, "title", analyzer)
