@@ -143,12 +143,19 @@ def field_lengths(spark, sf_dir):
 
 
 def index_incremental_equals_rebuild(spark, sf_dir):
-    """Index of the pages as of the middle sequence, saved, loaded and brought up to date: per document its terms."""
-    all_pages = pages(spark, sf_dir)
-    old = all_pages.where(F.col("localSeq") % 2 == 0)  # the state before the later half of the changes
+    """Index of an earlier state of the pages, saved, loaded and brought up to date: per document its terms.
+
+    In the earlier state the pages of one hash class in three are missing, those of another have an older title, and
+    pages that are deleted now were live under theirs. All of these are the change set, which so adds, replaces and
+    removes; the other live pages are not touched.
+    """
+    kind = F.pmod(F.xxhash64("id"), F.lit(3))
+    now = pages(spark, sf_dir).withColumn("kind", kind).withColumn("gone", F.coalesce(F.col("deleted"), F.lit(False)))
+    older = F.when(F.col("kind") == 1, F.concat(F.lit("older "), "title")).otherwise(F.col("title"))
+    old = now.where((F.col("kind") != 0) | F.col("gone")).withColumn("title", older).withColumn("deleted", F.lit(False))
     path = fresh_path(spark, "index")
-    build_index(search.live(old), "title", PLAIN).save(path)
-    index = apply_changes(SearchIndex.load(spark, path), all_pages.where(F.col("localSeq") % 2 != 0), "title", PLAIN)
+    build_index(old, "title", PLAIN).save(path)
+    index = apply_changes(SearchIndex.load(spark, path), now.where((F.col("kind") != 2) | F.col("gone")), "title", PLAIN)
     return index.postings.groupBy("id").agg(F.count("*").alias("terms"), F.min("term").alias("first_term"), F.max("term").alias("last_term"))
 
 

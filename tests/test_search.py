@@ -7,6 +7,7 @@ from lodestrand.functions.charmaps import simplified_table
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators import search
 from lodestrand.operators.index import SearchIndex, apply_changes, build_index, corpus_stats, vocabulary
+from lodestrand.plans import search_queries
 
 PAGE = "id bigint, title string, normalizedTitle string, namespace bigint, namespaceName string, deleted boolean, isRedirect boolean, contentModel string, content string"
 
@@ -118,3 +119,20 @@ def test_data_codes(spark, analyzer):
     codes = lambda q: [x.code for x in search.data_code_search(r, q, analyzer).collect()]
     assert codes("手枪") == ["pistol", "smallmagazine"] and codes("半自动武器") == ["pistol"]
     assert codes("morph") == ["Morphine"] and codes("不要命中") == [] and codes("") == []
+
+
+def test_incremental_query_replaces_and_removes(spark, tmp_path, monkeypatch):
+    rows = [(i, f"page{i}", f"page{i}", 0, "x", i % 5 == 0, None, "wikitext", None, i) for i in range(1, 41)]
+    spark.createDataFrame(rows, PAGE + ", localSeq bigint").write.parquet(f"{tmp_path}/pages.parquet")
+    seen = {}
+
+    def watched(index, changed, text, analyzer):
+        before = {r.id: r.title for r in index.stats.collect()}
+        for r in changed.collect():
+            seen.setdefault("removed" if r.deleted and r.id in before else "added" if r.id not in before else "replaced" if before[r.id] != r.title else "same", []).append(r.id)
+        return apply_changes(index, changed, text, analyzer)
+
+    monkeypatch.setattr(search_queries, "apply_changes", watched)
+    got = search_queries.index_incremental_equals_rebuild(spark, str(tmp_path)).collect()
+    assert {r.id for r in got} == {r[0] for r in rows if not r[5]} and not any("older" in (r.first_term, r.last_term) for r in got)
+    assert seen.keys() == {"added", "replaced", "removed"} and len(seen["removed"]) == 8
