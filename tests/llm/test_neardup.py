@@ -83,3 +83,10 @@ def test_long_and_tiny_texts():
     together = neardup.signatures([neardup.tokens_of(t, 5) for t in ("first body", "a second, longer body")], 0.7)
     assert [set(x.tolist()) for x in alone] == [set(x.tolist()) for x in together]
     assert neardup.signatures([], 0.7)[0].size == 0
+
+
+def test_lower_case_may_be_longer(spark):
+    body = "İİİ" + "".join(chr(0x4E00 + i) for i in range(194))
+    assert len(body) == 197 and len(neardup.compact_body(body)) == 200
+    df = spark.createDataFrame([(1, body), (2, body), (3, body[3:])], "id bigint, body string")
+    assert [tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "body", threshold=0.7, width=5, least=200).collect()] == [(1, 2)]
