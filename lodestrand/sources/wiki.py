@@ -80,6 +80,12 @@ def query(url: str, parameters: dict, fetch: Callable[[str], dict] = fetch_json,
     raise AssertionError
 
 
+def namespaces_of(url: str, fetch: Callable[[str], dict] = fetch_json) -> list[tuple[int, str]]:
+    """(id, name) of the namespaces that are scanned, all from 0 but files (6); no name gives the canonical one, else （主）."""
+    found = query(url, {"meta": "siteinfo", "siprop": "namespaces"}, fetch)["query"]["namespaces"].values()
+    return sorted((n["id"], n.get("name") or n.get("canonical") or "（主）") for n in found if n["id"] >= 0 and n["id"] != 6)
+
+
 def pages_of(url: str, namespace: int, fetch: Callable[[str], dict] = fetch_json, size: int = 500) -> Iterator[tuple]:
     """All pages of a namespace, following the continuation."""
     more: str | None = None
@@ -154,7 +160,8 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         if self.options.get("list", "pages") == "pages":
-            return [_Part(int(n)) for n in self.options.get("namespaces", "0").split(",")]
+            given = self.options.get("namespaces")
+            return [_Part(int(n)) for n in given.split(",")] if given else [_Part(n) for n, _ in namespaces_of(self.options["url"])]
         return [_Part(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -167,7 +174,7 @@ class _Reader(DataSourceReader):
 
 
 class WikiSource(DataSource):
-    """Format ``wiki_list``; options url, list (pages, changes or data), namespaces, size, start, end, keys."""
+    """Format ``wiki_list``; options url, list (pages, changes or data), namespaces (all but files if not given), size, start, end, keys."""
 
     @classmethod
     def name(cls) -> str:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrand.operators import mirror
+from lodestrand.sources import wiki
 from lodestrand.sources.store import Conflict, Incompatible, Manifest, Store, validated
 from lodestrand.sources.wiki import RemoteError, WikiSource, bodies_of, changes_of, data_of, info_of, pages_of, query, retry_after, retryable
 from lodestrand.streaming import schedule
@@ -181,3 +182,11 @@ def test_schedule():
     assert schedule.fresh(5, 1, d) and not schedule.fresh(0, 1, d) and not schedule.fresh(5, 0, 6) and not schedule.fresh(None, 1, 6) and not schedule.fresh(5, 1, 6, False)
     assert [schedule.scan_reason(*a) for a in ((True, 0, None, None), (False, d, None, 0), (False, d, 1, 0), (False, d, 1, 1))] == ["manual", "scheduled", "gap", None]
     assert schedule.next_due(10, 5, 4, lambda: 0.5) == 17
+
+
+def test_namespaces_come_from_the_site(monkeypatch):
+    site = {"0": {"id": 0, "name": ""}, "-1": {"id": -1, "name": "特殊"}, "6": {"id": 6, "name": "文件"}, "10": {"id": 10, "name": "", "canonical": "Template"}, "4": {"id": 4, "name": "项目", "canonical": "Project"}}
+    fetch = lambda url: {"query": {"namespaces": site}}
+    assert wiki.namespaces_of("http://x", fetch) == [(0, "（主）"), (4, "项目"), (10, "Template")]
+    monkeypatch.setattr(wiki.namespaces_of, "__defaults__", (fetch,))
+    assert [p.number for p in WikiSource({"url": "http://x"}).reader(None).partitions()] == [0, 4, 10]
