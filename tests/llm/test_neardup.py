@@ -50,39 +50,79 @@ def test_classes(spark):
     assert neardup.near_duplicate_pairs(df.limit(0), "id", "content").count() == 0
 
 
+def test_exact_mode_misses_nothing(spark):
+    rows = [*enumerate(bodies(5, 90)), (9000, ""), (9001, "abc"), (9002, "abc"), (9003, "zzzzzzzz"), (9004, "zzzzzzzzz")]
+    df = spark.createDataFrame(rows, "id bigint, content string")
+    got = {tuple(r) for r in neardup.near_duplicate_pairs(df, "id", "content", threshold=0.7, width=5, least=1, miss=0).collect()}
+    assert got == truth([r for r in rows if r[1]], 0.7, 5, 1) and len(got) > 20
+    with pytest.raises(ValueError):
+        neardup.Plan.of(0.5, 0, 10)
+
+
+def arrays(*sets):
+    """Token sets as the arrays that the module works on."""
+    return np.concatenate([np.unique(s) for s in sets]).astype(np.uint64), np.repeat(np.arange(len(sets)), [len(np.unique(s)) for s in sets]), len(sets)
+
+
+def values_of(plan, *sets):
+    values, owner = neardup.signatures(*arrays(*sets), plan)
+    return [values[owner == i].tolist() for i in range(len(sets))]
+
+
 def test_sketch_distance_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for _ in range(50):
-        a = np.unique(rng.integers(0, 2**63, 500).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: rng.integers(1, 500)], rng.integers(0, 2**63, rng.integers(1, 400)).astype(np.uint64)]))
-        apart = len(np.setxor1d(a, b))
-        distance = np.bitwise_count(neardup.sketch(a).view(np.uint64) ^ neardup.sketch(b).view(np.uint64)).sum()
+        a = np.unique(rng.integers(0, 2**55, 500).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: rng.integers(1, 500)], rng.integers(0, 2**55, rng.integers(1, 400)).astype(np.uint64)]))
+        one, two = neardup.sketches(*arrays(a, b))
+        apart, distance = len(np.setxor1d(a, b)), int(np.bitwise_count(one.view(np.uint64) ^ two.view(np.uint64)).sum())
         assert distance <= apart and (distance - apart) % 2 == 0
 
 
-def test_miss_rate_at_the_threshold():
-    """Pairs whose similarity is just at the threshold meet in some part."""
-    rng = np.random.default_rng(2)
+@pytest.mark.parametrize("count", [400, 40_000, 4_000_000])
+def test_miss_rate_at_the_threshold(count):
+    """Pairs whose similarity is just at the threshold agree in as many parts as are asked for, whatever the size of the corpus."""
+    rng, plan = np.random.default_rng(2), neardup.Plan.of(0.7, 1e-4, count)
     missed = 0
     for n in (30, 180, 600, 2000):
         for _ in range(60):
             shared = int(np.ceil(0.7 * 2 * n / 1.7))
-            pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
-            a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
-            one, two = neardup.signatures([a, b], 0.7)
-            missed += not set(one.tolist()) & set(two.tolist())
+            pool = rng.integers(0, 2**55, 2 * n)
+            one, two = values_of(plan, pool[:n], np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
+            missed += len(set(one) & set(two)) < plan.agree
     assert missed <= 1
 
 
-def test_long_and_tiny_texts():
-    assert len(neardup.tokens_of("a", 5)) == 1
-    assert len(neardup.tokens_of("ab" * 500_000, 5)) == 2
+def test_more_bodies_make_larger_parts_rarer():
+    few, many = (neardup.Plan.of(0.7, 1e-4, n) for n in (1_000, 10_000_000))
+    assert few.load < many.load and few.parts(20)[0] > many.parts(20)[0] and few.parts(20)[1] < many.parts(20)[1]
+
+
+def test_exact_values_always_meet():
+    rng, plan = np.random.default_rng(3), neardup.Plan.of(0.7, 0, 100)
+    for n in (1, 2, 3, 5, 10, 60, 300):
+        for _ in range(40):
+            shared = int(np.ceil(0.7 * 2 * n / 1.7))
+            pool = rng.integers(0, 2**55, 2 * n)
+            one, two = values_of(plan, pool[:n], np.concatenate([pool[:shared], pool[n : 2 * n - shared]]))
+            assert set(one) & set(two)
+
+
+def test_tokens_together_and_alone():
+    texts = ["first body", "a second, longer body", "ab", "", "aaaaaaaa", "𝒳𝒴𝒵 and more"]
+    tokens, owner = neardup.token_sets(texts, 5)
+    for i, t in enumerate(texts):
+        alone, _ = neardup.token_sets([t], 5)
+        assert alone.tolist() == tokens[owner == i].tolist() and len(alone) == len({t[k : k + 5] for k in range(max(1, len(t) - 4))})
+    plan = neardup.Plan.of(0.7, 1e-4, 100)
+    values, of = neardup.signatures(tokens, owner, len(texts), plan)
+    for i, t in enumerate(texts):
+        own, o = neardup.token_sets([t], 5)
+        assert sorted(neardup.signatures(own, o, 1, plan)[0].tolist()) == sorted(values[of == i].tolist())
+    assert len(neardup.token_sets(["ab" * 500_000], 5)[0]) == 2 and neardup.token_sets([], 5)[0].size == 0
     for n in (1, 2, 3, 7):
-        assert len(neardup.signatures([np.arange(1, n + 1, dtype=np.uint64)], 0.7)[0]) > 0
-    alone = [neardup.signatures([neardup.tokens_of(t, 5)], 0.7)[0] for t in ("first body", "a second, longer body")]
-    together = neardup.signatures([neardup.tokens_of(t, 5) for t in ("first body", "a second, longer body")], 0.7)
-    assert [set(x.tolist()) for x in alone] == [set(x.tolist()) for x in together]
-    assert neardup.signatures([], 0.7)[0].size == 0
+        assert values_of(plan, np.arange(1, n + 1))[0]
+    assert [p for p in neardup.together(["x"] * 600 + ["y" * (1 << 21)])] == [slice(0, 512), slice(512, 600), slice(600, 601)]
 
 
 def test_lower_case_may_be_longer(spark):
