@@ -1,5 +1,6 @@
 """Change feed, messages, snapshots and references: defined cases and brute force."""
 
+import os
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -7,11 +8,12 @@ import pytest
 
 from lodestrand.operators.change_feed import apply_change_feed
 from lodestrand.operators import messages
-from lodestrand.operators.messages import MessageStore, keep_one_copy, message_keys, surplus_messages
+from lodestrand.operators.messages import MessageStore, keep_one_copy, surplus_messages
 from lodestrand.operators.references import change_references, job_references, month_of, orphan_counts, orphan_references
 from lodestrand.operators.snapshots import snapshot_changes
 from pyspark.sql import functions as F
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 FEED = (
     "delivery_id bigint, batch_id bigint, type string, ns bigint, title string, pageid bigint, revid bigint, rcid bigint,"
     " timestamp timestamp, logtype string, logaction string, logparams map<string,string>, owner string, kind string, seq bigint"
@@ -114,29 +116,99 @@ def test_messages_against_brute_force(spark):
     assert surplus_messages(feed(spark, []), 3).count() == 0
 
 
-def test_message_store_is_idempotent(spark):
-    store = MessageStore(spark, 3)
-    batch = lambda rows: spark.createDataFrame(rows, "key string, delivery_id bigint")
-    store.upsert(batch([("a", 3), ("b", 4), ("a", 5)]), "one")
-    store.upsert(batch([("a", 2), ("c", 9)]), "two")
-    store.upsert(batch([("a", 2), ("c", 9)]), "two")
-    merged = store.compact()
-    assert sorted(map(tuple, merged.collect())) == [("a", 2), ("b", 4), ("c", 9)]
-    one = MessageStore(spark, 3)
-    one.upsert(batch([("a", 3), ("b", 4)]), "one")
-    assert "Exchange" not in one.compact()._jdf.queryExecution().executedPlan().toString()
-
-
-def test_message_batches_find_each_other(spark):
+def kept(store):
+    return sorted(r.delivery_id for r in store.messages().collect())
+
+
+def test_message_store_is_idempotent(spark, tmp_path):
+    one, two = [event(3, 7), event(4, 8), event(5, 7)], [event(2, 7), event(9, 9)]
+    store = MessageStore(spark, f"{tmp_path}/s", 3)
+    store.upsert(feed(spark, one), "one")
+    store.upsert(feed(spark, two), "two")
+    store.upsert(feed(spark, two), "two")
+    assert store.runs() == ["one", "two"] and spark.table(store.name).count() == 4 and kept(store) == [2, 4, 9]
+    plan = store.spark.table(store.name).groupBy("slot").agg(F.min("delivery_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan  # several runs of a bucket meet in one task
+    store.compact()
+    assert len(store.runs()) == 1 and spark.table(store.name).count() == 3 and kept(store) == [2, 4, 9]
+    store.upsert(feed(spark, [event(1, 9), event(10, 10)]), "three")
+    assert kept(store) == [1, 2, 4, 10]
+    with pytest.raises(ValueError):
+        store.upsert(feed(spark, one), "no/name")
+    store.close()
+    again = MessageStore(spark, f"{tmp_path}/s", 17)  # opened by its path, with the buckets it was made with
+    assert again.buckets == 3 and kept(again) == [1, 2, 4, 10]
+    again.close()
+
+
+def test_message_store_in_two_processes(spark, tmp_path):
+    """A batch sent again by another process, after a compaction cut off before it removed what it had merged."""
+    import subprocess
+    import sys
+
+    store = MessageStore(spark, f"{tmp_path}/s", 2)
+    store.upsert(feed(spark, [event(5, 7), event(6, None, page=2)]), "one")
+    store.close()
+    code = """
+import sys
+from pyspark.sql import SparkSession
+from lodestrand.operators.messages import MessageStore
+sys.path.insert(0, "tests")
+from test_maintenance import event, feed
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.sql.warehouse.dir", sys.argv[1] + "/w").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+store = MessageStore(spark, sys.argv[1] + "/s")
+for again in range(2):
+    store.upsert(feed(spark, [event(3, 7), event(8, 4, page=2)]), "two")
+
+class CutOff:
+    def __init__(self, fs):
+        self.listStatus = fs.listStatus
+
+    def delete(self, *args):
+        pass
+
+store._fs = CutOff(store._fs)
+store.compact()
+print(sorted(r.delivery_id for r in store.messages().collect()), len(store.runs()))
+"""
+    out = subprocess.run([sys.executable, "-c", code, str(tmp_path)], capture_output=True, text=True, cwd=ROOT, env={**os.environ, "PYTHONPATH": ROOT}, timeout=300)
+    assert out.stdout.strip().endswith("[3, 6] 3"), out.stdout + out.stderr[-2000:]
+    store = MessageStore(spark, f"{tmp_path}/s")
+    assert kept(store) == [3, 6]
+    store.compact()
+    assert kept(store) == [3, 6] and len(store.runs()) == 1
+    store.close()
+
+
+def test_message_batches_find_each_other(spark, tmp_path):
     first, second = [event(1, None, page=1), event(2, None, page=2)], [event(3, 7, page=1), event(4, None, page=2), event(5, 7, page=1)]
-    for order in ((first, second), (second, first)):
-        store = MessageStore(spark, 3)
+    for n, order in enumerate(((first, second), (second, first))):
+        store = MessageStore(spark, f"{tmp_path}/{n}", 3)
         for name, rows in zip("ab", order, strict=True):
-            store.upsert(messages.batch_keys(feed(spark, rows)), name)
-        assert sorted(r.delivery_id for r in store.compact().collect()) == [1, 2]
-    store = messages._stored(feed(spark, [(*event(i, 7)[:1], i, *event(i, 7)[2:]) for i in range(1, 41)]), 3)
-    assert spark.table(store.name).count() == spark.table(store.name).select("run").distinct().count() == messages.RUNS
-    assert [r.delivery_id for r in store.compact().collect()] == [1]
+            store.upsert(feed(spark, rows), name)
+        assert kept(store) == [1, 2]
+        store.compact()
+        assert kept(store) == [1, 2]
+        store.close()
+    store = MessageStore(spark, f"{tmp_path}/runs", 3)
+    many = feed(spark, [(*event(i, 7)[:1], i, *event(i, 7)[2:]) for i in range(1, 41)])
+    store.load(many, F.pmod(F.xxhash64("batch_id"), F.lit(messages.RUNS)))
+    assert len(store.runs()) == messages.RUNS == spark.table(store.name).count() and kept(store) == [1]
+    with pytest.raises(ValueError):
+        store.load(many, F.lit(0))
+    store.close()
+
+
+def test_message_keeps_its_places(spark, tmp_path):
+    """A message whose copies differ is found at every place, also after a compaction; the lowest rcid owns a shared place."""
+    store = MessageStore(spark, f"{tmp_path}/s", 3)
+    store.upsert(feed(spark, [event(5, 7, page=1), event(6, 7, page=2), event(7, 9, page=2)]), "a")
+    store.upsert(feed(spark, [event(8, 9, page=3)]), "b")
+    store.compact()
+    store.upsert(feed(spark, [event(1, None, page=2), event(2, None, page=3), (3, *event(3, None)[1:6], None, *event(3, None)[7:])]), "c")
+    assert kept(store) == [1, 2, 3]
+    store.close()
 
 
 SCAN = "seenInReconciliation bigint, id bigint, title string, namespace bigint, isRedirect boolean, revisionId bigint, contentModel string, deleted boolean, localSeq bigint, n int, new boolean"
@@ -185,8 +257,3 @@ def test_reference_forms(spark):
     assert job_references(jobs).count() == 2
     months = spark.range(1).select(month_of(F.lit(-1)).alias("a"), month_of(F.lit(1_740_787_200_000_000)).alias("b"), month_of(F.lit(None).cast("bigint")).alias("c")).first()
     assert tuple(months) == ("1969-12", "2025-03", "unknown")
-
-
-@pytest.mark.parametrize("n", [0, 1, 2])
-def test_message_keys_counts(spark, n):
-    assert message_keys(feed(spark, [event(i, 1) for i in range(n)])).count() == n
