@@ -8,11 +8,14 @@ sequence, or rebuilt. A refresh always equals a full rebuild.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.extract import content_text
-from lodestrand.functions.rules import Rules, category, default_rules, first_valid, parse_rules, rule_values
+from lodestrand.functions.rules import DEFAULT_RULES, Rules, category, first_valid, parse_rules, rule_values
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators import mirror, search
 from lodestrand.operators.index import META, SearchIndex
@@ -34,7 +37,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, analyzer: Analyzer | None = None, rules: str | None = None):
         self.spark, self.analyzer = spark, analyzer or Analyzer()
-        self.rules: Rules = parse_rules(first_valid([rules, default_rules()]))
+        self.rules: Rules = parse_rules(first_valid([rules, DEFAULT_RULES]))
         self.store = Store(spark, root, {"facts": FORMATS["facts"]})
 
     # facts
@@ -46,14 +49,19 @@ class Engine:
 
     @staticmethod
     def latest(parts: DataFrame) -> DataFrame:
-        """The last state of every id: commits only append, and later ones have higher sequence numbers."""
-        return parts.groupBy("id").agg(F.max_by(F.struct(*list(ROW)[1:]), "localSeq").alias("r")).select("id", "r.*")
+        """The last state of every id: commits only append, and later ones have higher sequence numbers.
+
+        Which states are superseded is found on the two columns that decide it; the rows themselves, bodies and all, only
+        meet the sequence numbers of those, which are few after a compaction, and only with the columns that are asked for.
+        """
+        slim = parts.select("id", "localSeq")
+        top = slim.groupBy("id").agg(F.max("localSeq").alias("top"))
+        old = slim.join(top, "id").where(F.col("localSeq") < F.col("top")).select("localSeq")
+        return parts.join(old, "localSeq", "left_anti").select(*ROW)
 
     def rows(self, table: str = "pages", manifest: Manifest | None = None) -> DataFrame:
         """Stored rows of ``pages`` or ``files``, tombstones included."""
-        manifest = manifest or self.store.manifest()
-        parts = self.parts(table, manifest)
-        return parts if len(manifest.tables.get(table, [])) < 2 else self.latest(parts)
+        return self.latest(self.parts(table, manifest))
 
     def compact(self, table: str = "pages") -> None:
         """Rewrite the parts of a table as one, without older states."""
@@ -68,6 +76,10 @@ class Engine:
         have = set(incoming.columns)
         rows = incoming.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in ROW.items()])
         name = F.coalesce("namespaceName", F.col("namespace").cast("string"))
+        # Of several rows of one id the one of the highest revision counts, of equal ones the greatest in its columns
+        own = [c for c in ROW if c != "id"]
+        first = F.struct(F.coalesce("revisionId", F.lit(-1)).alias("_rev"), *own)
+        rows = rows.where(F.col("id").isNotNull()).groupBy("id").agg(F.max(first).alias("r")).select("id", *[F.col(f"r.{c}") for c in own])
         return rows.withColumns({
             "normalizedTitle": self.analyzer.normalize(F.col("title")), "namespaceName": name,
             "isRedirect": F.coalesce("isRedirect", F.lit(False)), "deleted": F.coalesce("deleted", F.lit(False)),
@@ -104,7 +116,8 @@ class Engine:
         return self.store.update(apply, batch=batch).state.get("local-sequence", 0)
 
     def ingest(self, rows: DataFrame, table: str = "pages", batch: int | None = None) -> int:
-        """Add or change rows; only real changes take a sequence number. ``rows`` has unique ids."""
+        """Add or change rows; only real changes take a sequence number. Of several rows of
+        one id the one of the highest revision counts."""
         return self._commit(table, lambda stored, _: self._merged(stored, self._shape(rows), None), batch)
 
     def remove(self, ids: DataFrame, table: str = "pages", batch: int | None = None) -> int:
@@ -136,7 +149,8 @@ class Engine:
 
     def _key(self, kind: str) -> str:
         """What a derived table depends on besides the facts."""
-        return f"{kind}:{FORMATS}:{self.analyzer.engine}:{self.analyzer.compatibility}:{self.analyzer.segmenter if isinstance(self.analyzer.segmenter, str) else 'own'}"
+        rules = hashlib.sha256(json.dumps(self.rules, sort_keys=True).encode()).hexdigest()[:32] if kind == "data" else ""
+        return f"{kind}:{json.dumps(FORMATS, sort_keys=True)}:{self.analyzer.digest()}:{rules}"
 
     def _derive(self, kind: str, rows: DataFrame) -> dict[str, DataFrame]:
         """The derived tables of ``rows``: documents, and for title and content their postings."""

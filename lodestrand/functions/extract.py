@@ -6,14 +6,15 @@ references, language variants) split the text at the matches, compute each and j
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestrand.functions.text import squeeze
+from lodestrand.functions.text import replace_computed, squeeze
 
 # fixed values: what is removed or kept of wiki markup, in order
 BLOCKS = "script|style|gallery|math"
@@ -23,21 +24,13 @@ REFERENCE = r"(?is)<ref\b[^>]*>.*?</ref\s*>|<ref\b[^>]*/\s*>"
 VARIANT = r"(?s)-\{.*?\}-"
 LINK_LABEL = r"\[\[([^\]|#]+)(?:#[^\]|]*)?\|([^\]]+)\]\]"
 LINK = r"\[\[([^\]|#]+)(?:#[^\]|]*)?\]\]"
-EXTERNAL_LABEL = r"\[(?:https?:)?//[^\s\]]*[^\s]*\s+([^\]]+)\]"
+EXTERNAL_LABEL = r"\[(?:https?:)?//\S*+\s+([^\]]+)\]"
 EXTERNAL = r"\[(?:https?:)?//\S+\]"
 ENTITY = r"(?i)&(?:nbsp|amp|lt|gt|quot|apos|#(?:\d+|x[0-9a-f]+));"
 NAMED = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'"}
 ENTITY_BLANK = " "
 
 
-def replace_computed(c: Column, pattern: str, compute: Callable[[Column], Column]) -> Column:
-    """``c`` with every match of ``pattern`` replaced by ``compute(match)``."""
-    pieces = F.split(c, pattern, -1)
-    found = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), compute), F.array(F.lit("")))
-    joined = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    return F.when(c.rlike(pattern), joined).otherwise(c)
-
-
 def _decoded(entity: Column) -> Column:
     body = F.lower(F.substring(entity, F.lit(2), F.length(entity) - 2))
     hexadecimal = body.startswith("#x")
@@ -99,8 +92,23 @@ def _number(raw: str) -> str:
     return str(int(value)) if value.is_integer() and abs(value) < 1e21 else repr(value)
 
 
+def _no_number(raw: str):
+    raise ValueError(f"no JSON: {raw}")
+
+
 def parse_json(source: str):
-    """JSON value of any depth, numbers as the strings they print as; ValueError if it is none."""
+    """JSON value of any depth, numbers as ("n", the string they print as); ValueError if it is none."""
+    if "\\u" not in source:  # escaped halves of characters are for the parser below
+        number = lambda raw: ("n", _number(raw))
+        try:
+            return json.loads(source, parse_int=number, parse_float=number, parse_constant=_no_number)
+        except RecursionError:
+            pass
+    return parse_deep_json(source)
+
+
+def parse_deep_json(source: str):
+    """The same without recursion."""
     holder: list = []
     stack: list = [holder]
     keys: list = [None]

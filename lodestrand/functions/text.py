@@ -7,6 +7,8 @@ one at a time, are analysed in Python on the driver.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -21,6 +23,8 @@ CJK = "\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 LATIN_RUN = "[A-Za-z0-9._]+"
 BLANKS = "[\\s\\x0b\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 EMPTY = "array<string>"
+# fixed values: signs that the JVM encodes in a component of an address and browsers do not
+PLAIN_SIGNS = {"%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
 
 
 def nfkc(c: Column) -> Column:
@@ -90,19 +94,40 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def replace_computed(c: Column, pattern: str, compute: Callable[[Column], Column]) -> Column:
+    """``c`` with every match of ``pattern`` replaced by ``compute(match)``."""
+    pieces = F.split(c, pattern, -1)
+    found = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), compute), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(pieces, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(c.rlike(pattern), joined).otherwise(c)
+
+
 @dataclass
 class Analyzer:
     """Options of the analysis.
 
-    ``simplified`` maps traditional to simplified characters (see functions.charmaps). ``segmenter`` is "none",
-    "whole" (the normalised text as one word, split again at blanks), "words" (runs of word characters) or a
-    Python callable from text to words, run on Arrow batches. ``engine`` names it in compatibility keys.
+    ``simplified`` maps traditional to simplified characters (see functions.charmaps), ``phrases`` whole phrases before that,
+    the longest first. ``segmenter`` is "none", "whole" (the normalised text as one word, split again at blanks), "words" (runs
+    of word characters) or a Python callable from text to words (see functions.segment), run on Arrow batches, which
+    ``engine`` has to name, since indexes are kept by what made them.
     """
 
     compatibility: bool = True
     simplified: dict[int, str] = field(default_factory=dict)
     segmenter: str | Callable[[str], list[str]] = "none"
     engine: str = "builtin"
+    phrases: dict[str, str] = field(default_factory=dict)
+
+    def digest(self) -> str:
+        """What tokens depend on, as a key: options, tables and the name of the segmenter."""
+        if callable(self.segmenter) and self.engine == "builtin":
+            raise ValueError("name your segmenter (engine)")
+        segmenter = "own" if callable(self.segmenter) else self.segmenter
+        parts = [self.compatibility, segmenter, self.engine, sorted(self.simplified.items()), sorted(self.phrases.items())]
+        return hashlib.sha256(json.dumps(parts).encode()).hexdigest()[:32]
+
+    def _phrase_pattern(self) -> str:
+        return "|".join(re.escape(p) for p in sorted(self.phrases, key=lambda p: (-len(p), p)))
 
     def fold(self, c: Column) -> Column:
         return nfkc(c) if self.compatibility else c
@@ -113,6 +138,9 @@ class Analyzer:
 
     def normalize_folded(self, folded: Column) -> Column:
         """``normalize`` of what ``fold`` gave."""
+        if self.phrases:
+            table = F.create_map(*[F.lit(x) for pair in sorted(self.phrases.items()) for x in pair])
+            folded = replace_computed(folded, self._phrase_pattern(), lambda m: table[m])
         if self.simplified:
             pairs = sorted(self.simplified.items())
             folded = F.translate(folded, "".join(chr(a) for a, _ in pairs), "".join(b for _, b in pairs))
@@ -160,7 +188,10 @@ class Analyzer:
         return unicodedata.normalize("NFKC", text) if self.compatibility else text
 
     def normalize_text(self, text: str) -> str:
-        return re.sub(BLANKS, " ", self.fold_text(text).translate(self.simplified).lower()).strip()
+        text = self.fold_text(text)
+        if self.phrases:
+            text = re.sub(self._phrase_pattern(), lambda m: self.phrases[m[0]], text)
+        return re.sub(BLANKS, " ", text.translate(self.simplified).lower()).strip()
 
     def compact_text(self, text: str) -> str:
         return re.sub(f"[^0-9a-z{CJK}]", "", self.normalize_text(text))
@@ -232,10 +263,10 @@ def wiki_link(title: Column, query: str, namespace: Column) -> Column:
 
 
 def page_path(title: Column) -> Column:
-    """Percent-encoded page name with underscores; slashes and colons stay."""
+    """Page name with underscores, percent-encoded as a component of an address."""
     encoded = F.url_encode(F.replace(title, F.lit(" "), F.lit("_")))
-    for code, sign in (("%2F", "/"), ("%3A", ":"), ("\\+", "%20")):
-        encoded = F.regexp_replace(encoded, code, sign)
+    for code, sign in PLAIN_SIGNS.items():
+        encoded = F.replace(encoded, F.lit(code), F.lit(sign))
     return encoded
 
 

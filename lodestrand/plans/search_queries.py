@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.charmaps import simplified_table
 from lodestrand.functions.extract import content_text
-from lodestrand.functions.rules import category, default_rules, parse_rules, rule_values
+from lodestrand.functions.rules import DEFAULT_RULES, category, parse_rules, rule_values
 from lodestrand.functions.text import CJK, Analyzer, fuzzy_budget
 from lodestrand.operators import search
 from lodestrand.operators.index import META, SearchIndex, apply_changes, build_index, corpus_stats, vocabulary
@@ -116,7 +116,7 @@ def data_codes(spark, sf_dir) -> DataFrame:
     name = F.trim(F.get_json_object("content", "$.locales['zh-CN'].name"))
     code = F.get_json_object("content", "$.id")
     rows = rows.select(F.col("title").alias("source"), code.alias("code"), name.alias("chineseName"), "content").where("source <> '' and code <> '' and chineseName <> ''")
-    values = rule_values(F.col("content"), F.col("source"), parse_rules(default_rules()))
+    values = rule_values(F.col("content"), F.col("source"), parse_rules(DEFAULT_RULES))
     kind = category(F.col("source"))
     out = rows.withColumn("values", values).withColumn("dataType", F.when(kind == "*", "Data").otherwise(kind))
     normal = PLAIN.normalize

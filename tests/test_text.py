@@ -66,7 +66,7 @@ def test_links_and_sizes(spark):
     row = spark.createDataFrame([("文件:A b.png", 6)], "t string, n bigint").select(
         text.wiki_link(F.col("t"), "q", F.col("n")), text.page_path(F.lit("A b/c:d")), text.byte_size(F.lit(10)), text.byte_size(F.lit(2048))
     ).first()
-    assert tuple(row) == ("[[:文件:A b.png|q]]", "A_b/c:d", "10 B", "2.0 KiB")
+    assert tuple(row) == ("[[:文件:A b.png|q]]", "A_b%2Fc%3Ad", "10 B", "2.0 KiB")
 
 
 def test_wikitext(spark):
@@ -143,5 +143,7 @@ def test_rules():
     for bad in ("", "x", "a = b", "a = .", "a = .x*", 'a = .["x', "= .a"):
         with pytest.raises(rules.RuleError):
             rules.parse_rules(bad)
-    assert rules.upgrade_rules(rules.default_rules(False)) == rules.default_rules()
+    assert rules.upgrade_rules(rules.OLDER_RULES) == rules.DEFAULT_RULES != rules.OLDER_RULES
+    assert rules.upgrade_rules(rules.OLDER_RULES + " ") == rules.OLDER_RULES + " " and rules.upgrade_rules(None) is None
+    assert rules.first_valid([None, "no rule", rules.OLDER_RULES]) == rules.DEFAULT_RULES
     assert rules.first_valid([None, "bad", "a = .b"]) == "a = .b"
