@@ -6,7 +6,7 @@ import unicodedata
 
 from pyspark.sql import SparkSession
 
-_simplified: dict[int, dict[int, str]] = {}
+_simplified: dict[str, dict[int, str]] = {}  # by ICU's version
 
 
 def simplified_table(spark: SparkSession) -> dict[int, str]:
@@ -14,7 +14,7 @@ def simplified_table(spark: SparkSession) -> dict[int, str]:
 
     Multi-character phrases are not converted.
     """
-    key = id(spark.sparkContext)
+    key = spark.sparkContext._jvm.com.ibm.icu.util.VersionInfo.ICU_VERSION.toString()
     if key not in _simplified:
         transform = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified")
         table: dict[int, str] = {}

@@ -1,12 +1,13 @@
 """Shared working folder: where lineage is cut so that a lost executor costs a re-read, not a re-run.
 
 Nothing here keeps data on one executor only. The folder is the one the session names in
-``spark.checkpoint.dir``; only where that is unset (local tests) a temporary one is chosen.
+``spark.checkpoint.dir``; only where that is unset and driver and executors are one process (local tests) a temporary one is chosen.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,12 +19,14 @@ _paths: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Return the shared folder for intermediate tables, setting one only if the session has none."""
+    """Return the shared folder for intermediate tables; a cluster has to name one, a local session is given one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestrand-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -64,14 +67,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 < cores else df
 
 
-_shipped: set[int] = set()
+_shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once, for clusters that do not have it installed."""
     from pathlib import Path
 
-    key = id(spark.sparkContext)
+    key = spark.sparkContext.applicationId
     if key not in _shipped:
         _shipped.add(key)
         root = Path(__file__).resolve().parents[1]
