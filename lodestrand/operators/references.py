@@ -1,9 +1,10 @@
 """References to records that do not exist (problem 6).
 
-Method: a left anti join of the distinct non-null foreign keys against the parent keys. Since a parent may
-also be stored too late or be removed before the time of the reference, each distinct key is looked up
-once and the few facts that decide it (missing, storedAt, tombstonedAt) are joined back to the rows, from which
-the counts per table and period follow. Only distinct keys meet the parent tables; the joins back are skew-split by AQE.
+Method: a left anti join of the distinct non-null foreign keys against the parent keys gives the missing ones. A parent
+may also be stored too late or be removed before the time of a reference: of the keys that have a parent, those whose
+earliest or latest reference falls outside of its life are kept with its times. Both are joined back to the rows, from which
+the counts per table and period follow. Only distinct keys meet the parent tables, and keys that orphan nothing, however many
+references they have, are not joined back.
 """
 
 from __future__ import annotations
@@ -44,7 +45,8 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     Of several parent rows of one id the one stored last counts; empty tables are allowed.
     """
     removed = F.coalesce(F.col("deleted"), F.lit(False))
-    keys = references.select("pageid").distinct()
+    at, never = F.col("at"), F.lit(None).cast("bigint")
+    keys = references.where(F.col("pageid").isNotNull()).groupBy("pageid").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.bool_or(at.isNull()).alias("timeless"))
     stored, gone = F.col("storedAt") * 1000, F.when(removed, F.col("tombstonedAt") * 1000)
     present = (
         parents.where(F.col("id").isNotNull())
@@ -52,9 +54,10 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
         .agg(F.max(F.struct(stored.alias("stored"), removed.alias("removed"), gone.alias("gone"))).alias("p"))
         .select("pageid", "p.*")
     )
-    # the anti join, kept as an outer join: unmatched keys are the missing ones, matched keys bring their times along
-    facts = keys.join(present, "pageid", "left").withColumn("missing", F.col("removed").isNull())
-    at = F.col("at")
+    missing = keys.join(present.select("pageid"), "pageid", "left_anti").select("pageid", F.lit(True).alias("missing"), never.alias("stored"), F.lit(False).alias("removed"), never.alias("gone"))
+    outlived = F.col("removed") & (F.col("timeless") | F.col("gone").isNull() | (F.col("last") >= F.col("gone")))
+    partly = keys.join(present, "pageid").where(F.coalesce(F.col("first") < F.col("stored"), F.lit(False)) | F.coalesce(outlived, F.lit(False)))
+    facts = missing.unionByName(partly.select("pageid", F.lit(False).alias("missing"), "stored", "removed", "gone"))
     orphan = (
         F.col("missing")
         | F.coalesce(at < F.col("stored"), F.lit(False))
