@@ -1,8 +1,8 @@
 """Applying a feed of inserts, updates and deletes (problem 1).
 
 Method: column-wise last writer wins. Every field of the result is ``max_by(value, sequence)`` over
-the changes that set this field, and the page exists if its last existence-changing event is not a
-removal. All of it is one aggregation per page, so it combines on the map side: a page that holds a
+the changes that set this field, and only sequences after the latest removal count, unless a restore after it brings
+back what was set before. All of it is one aggregation per page, so it combines on the map side: a page that holds a
 third of the feed costs one partial row per map task. No ordering of the input is needed, and a
 repeated or late message changes nothing.
 """
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrand.sources.work import materialize
+
 REMOVALS = ("delete", "delete_redir")
 
 
@@ -25,8 +27,7 @@ def apply_change_feed(feed: DataFrame) -> DataFrame:
 
     Sequence is ``rcid``; rows without one are left out and of several rows of one ``rcid`` the one with
     the lowest ``delivery_id`` counts. new/edit set title and revid and make the page exist; move sets the
-    title; delete and delete_redir remove it; restore brings it back with the fields it had, since
-    removals never clear a field. A removal with ``pageid`` 0 is resolved by its title.
+    title; delete and delete_redir remove it and all its fields with it; restore takes that back. A removal with ``pageid`` 0 is resolved by its title.
 
     Defined cases: null ``type``/``pageid`` rows change nothing; a page that was never created or edited
     in the feed does not exist, whatever else is logged of it; a move without a target title sets nothing;
@@ -53,7 +54,7 @@ def apply_change_feed(feed: DataFrame) -> DataFrame:
     ).where(F.col("rcid").isNotNull() & F.col("pageid").isNotNull())
 
     # removals that name the page by title only: few rows, resolved against the titles pages have had
-    blind = rows.where((F.col("kind") == "d") & (F.col("pageid") == 0) & F.col("title").isNotNull())
+    blind = materialize(rows.where((F.col("kind") == "d") & (F.col("pageid") == 0) & F.col("title").isNotNull()), "blind")
     owners = (
         rows.where(F.col("pageid") != 0)
         .select("pageid", F.explode(F.array("title", "target")).alias("title"))
@@ -67,12 +68,17 @@ def apply_change_feed(feed: DataFrame) -> DataFrame:
     )
     events = rows.where((F.col("pageid") != 0) & F.col("kind").isNotNull()).unionByName(resolved)
 
-    sets_title = (F.col("kind") == "w") | ((F.col("kind") == "m") & F.col("target").isNotNull())
     is_write = F.col("kind") == "w"
+    sets_title = is_write | ((F.col("kind") == "m") & F.col("target").isNotNull())
+    when = lambda kind: F.max(F.when(F.col("kind") == kind, seq))
     state = events.groupBy("pageid").agg(
         F.max_by(F.when(is_write, F.col("title")).otherwise(F.col("target")), F.when(sets_title, seq)).alias("title"),
         F.max_by("revid", F.when(is_write, seq)).alias("revid"),
-        F.max_by("kind", F.when(F.col("kind") != "m", seq)).alias("last"),
-        F.bool_or(is_write).alias("made"),
+        when("w").alias("written"),
+        when("d").alias("removed"),
+        when("r").alias("restored"),
     )
-    return state.where(F.col("made") & (F.col("last") != "d")).select("pageid", "revid", "title")
+    # what was set up to the cutoff is gone; a write sets every field, so after a later one nothing older is left to win
+    restored = F.coalesce(F.col("restored") > F.col("removed"), F.lit(False))
+    cutoff = F.when(~restored, F.col("removed"))
+    return state.where(F.col("written").isNotNull() & (cutoff.isNull() | (F.col("written") > cutoff))).select("pageid", "revid", "title")
