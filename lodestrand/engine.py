@@ -72,7 +72,8 @@ class Engine:
         """The highest sequence number handed out."""
         return self.store.manifest().state.get("local-sequence", 0)
 
-    def _shape(self, incoming: DataFrame) -> DataFrame:
+    def shaped(self, incoming: DataFrame) -> DataFrame:
+        """Incoming rows as stored ones, one per id."""
         have = set(incoming.columns)
         rows = incoming.select(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in ROW.items()])
         name = F.coalesce("namespaceName", F.col("namespace").cast("string"))
@@ -85,7 +86,7 @@ class Engine:
             "isRedirect": F.coalesce("isRedirect", F.lit(False)), "deleted": F.coalesce("deleted", F.lit(False)),
         })
 
-    def _merged(self, stored: DataFrame, incoming: DataFrame, fence: int | None) -> DataFrame:
+    def merged(self, stored: DataFrame, incoming: DataFrame, fence: int | None) -> DataFrame:
         """Incoming rows that change something, in their new form."""
         a, b = incoming.alias("a"), stored.alias("b")
         new = F.col("b.id").isNull()
@@ -101,24 +102,25 @@ class Engine:
             changed = changed | ~F.col(c).eqNullSafe(F.col(f"old_{c}"))
         return merged.where(changed).select(*ROW)
 
+    def numbered(self, changed: DataFrame, start: int) -> tuple[DataFrame, int]:
+        """Rows with sequence numbers above ``start`` in order of id, and the highest number after."""
+        rows = mirror.assign_sequence(changed.drop("localSeq"), ["id"], start).select(*ROW)
+        return rows, rows.agg(F.max("localSeq")).first()[0] or start
+
     def _commit(self, table: str, change, batch: int | None = None) -> int:
-        """Append the rows ``change(stored, manifest)`` gives, numbered in order of id; returns the sequence after."""
+        """Append the rows ``change(stored, manifest)`` gives, numbered; returns the sequence after."""
 
         def apply(base: Manifest) -> tuple:
             start = base.state.get("local-sequence", 0)
-            changed = change(self.rows(table, base), base).drop("localSeq")
-            numbered = mirror.assign_sequence(changed, ["id"], start).select(*ROW)
-            end = numbered.agg(F.max("localSeq")).first()[0]
-            if end is None:
-                return {}, {}
-            return {}, {"local-sequence": end}, {table: numbered}
+            rows, end = self.numbered(change(self.rows(table, base), base), start)
+            return ({}, {}) if end == start else ({}, {"local-sequence": end}, {table: rows})
 
         return self.store.update(apply, batch=batch).state.get("local-sequence", 0)
 
     def ingest(self, rows: DataFrame, table: str = "pages", batch: int | None = None) -> int:
         """Add or change rows; only real changes take a sequence number. Of several rows of
         one id the one of the highest revision counts."""
-        return self._commit(table, lambda stored, _: self._merged(stored, self._shape(rows), None), batch)
+        return self._commit(table, lambda stored, _: self.merged(stored, self.shaped(rows), None), batch)
 
     def remove(self, ids: DataFrame, table: str = "pages", batch: int | None = None) -> int:
         """Tombstones for live rows of the given ids."""
@@ -128,9 +130,9 @@ class Engine:
         """A full scan that began at sequence ``started_at``: repair, add and sweep; later writes are kept."""
 
         def change(stored: DataFrame, _: Manifest) -> DataFrame:
-            shaped = self._shape(scan)
+            shaped = self.shaped(scan)
             gone = mirror.tombstone(mirror.sweep(stored, shaped, F.lit(started_at)))
-            return self._merged(stored, shaped, started_at).unionByName(gone.select(*ROW))
+            return self.merged(stored, shaped, started_at).unionByName(gone.select(*ROW))
 
         return self._commit(table, change)
 
