@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from lodestrand.sources.work import materialize
 
 _MARK = "\x02"
-_tables: dict[int, tuple[dict, dict]] = {}
+_tables: dict[str, tuple[dict, dict]] = {}  # by ICU's version
 
 
 def _is_unified_han(ch: str) -> bool:
@@ -74,7 +74,7 @@ def look_alike_table(spark: SparkSession) -> dict[int, str]:
 
 def tables(spark: SparkSession) -> tuple[dict[int, str], dict[int, str]]:
     """(width and blank folding, look-alike prototypes); built once per driver, some ten thousand entries."""
-    key = id(spark.sparkContext)
+    key = spark.sparkContext._jvm.com.ibm.icu.util.VersionInfo.ICU_VERSION.toString()
     if key not in _tables:
         _tables[key] = fold_table(), look_alike_table(spark)
     return _tables[key]
@@ -99,21 +99,25 @@ def with_skeleton(df: DataFrame, column: str, name: str = "skeleton") -> DataFra
     return df.withColumn(name, skeleton(F.col(column)))
 
 
-def look_alike_pairs(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: rows with look-alike but different texts in one of ``columns``, each pair once.
-
-    Null and empty texts, and texts of nothing but invisible characters, are not compared; equal texts are
-    no pair. The skeleton is computed once per distinct text, after map-side combining, so copies cost one row; only
-    classes with at least two different texts are ever joined to the ids that hold them. Rows that share an
-    id are never a pair of themselves; an empty table gives an empty result.
-    """
-    spark = rows.sparkSession
+def _texts(rows: DataFrame, id_column: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, text) of every text that is compared, and (kind, text, skeleton) of the distinct ones; kind numbers ``columns``."""
     long = rows.where(F.col(id_column).isNotNull()).select(
         F.col(id_column).alias("id"),
         F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("text")) for i, c in enumerate(columns)])).alias("x"),
     )
     long = long.select("id", "x.kind", "x.text").where(F.col("text").isNotNull() & (F.col("text") != ""))
-    texts = with_skeleton(long.select("kind", "text").distinct(), "text").where("skeleton <> ''")
+    return long, with_skeleton(long.select("kind", "text").distinct(), "text").where("skeleton <> ''")
+
+
+def look_alike_pairs(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: rows with look-alike but different texts in one of ``columns``, each pair once.
+
+    Null and empty texts, and texts of nothing but invisible characters, are not compared; equal texts are
+    no pair. The skeleton is computed once per distinct text, after map-side combining, so copies cost one row; different
+    texts are paired first and the rows that hold them attached to these pairs, so that no row ever meets another of the same
+    text. Rows that share an id are never a pair of themselves; an empty table gives an empty result.
+    """
+    long, texts = _texts(rows, id_column, columns)
     ambiguous = (
         texts.groupBy("kind", "skeleton")
         .agg(F.min("text").alias("a"), F.max("text").alias("b"))
@@ -122,16 +126,34 @@ def look_alike_pairs(rows: DataFrame, id_column: str, columns: list[str]) -> Dat
     )
     # few rows: the different texts of the classes that have more than one
     classes = materialize(texts.join(ambiguous, ["kind", "skeleton"], "left_semi"), "look-alike")
-    holders = long.join(classes, ["kind", "text"])
-    a, b = (holders.select(F.col("id").alias(f"id_{s}"), "kind", "skeleton", F.col("text").alias(f"text_{s}")) for s in "ab")
+    a, b = (classes.select("kind", "skeleton", F.col("text").alias(f"text_{s}")) for s in "ab")
+    pairs = a.join(b, ["kind", "skeleton"]).where(F.col("text_a") < F.col("text_b")).select("kind", "text_a", "text_b")
+    holders = materialize(long.join(classes.select("kind", "text"), ["kind", "text"], "left_semi"), "holders")
+    ha, hb = (holders.select(F.col("id").alias(f"id_{s}"), "kind", F.col("text").alias(f"text_{s}")) for s in "ab")
     return (
-        a.join(b, ["kind", "skeleton"])
-        .where((F.col("id_a") < F.col("id_b")) & (F.col("text_a") != F.col("text_b")))
-        .select("id_a", "id_b")
+        pairs.join(ha, ["kind", "text_a"])
+        .join(hb, ["kind", "text_b"])
+        .where(F.col("id_a") != F.col("id_b"))
+        .select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
         .distinct()
     )
 
 
+def look_alike_links(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """(id, column, class_id, links): per row and column the class of equal texts it is in, named by its lowest id, and the
+    number of other classes that look the same.
+
+    The form for large tables: it grows with the rows, not with their pairs. Texts that are not compared have no class and
+    no row here.
+    """
+    long, texts = _texts(rows, id_column, columns)
+    looks = texts.groupBy("kind", "skeleton").agg((F.count("*") - 1).alias("links")).where("links > 0")
+    first = long.groupBy("kind", "text").agg(F.min("id").alias("class_id"))
+    known = texts.join(looks, ["kind", "skeleton"], "left").join(first, ["kind", "text"]).select("kind", "text", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+    names = F.array(*[F.lit(c) for c in columns])
+    return long.join(known, ["kind", "text"]).select("id", F.get(names, F.col("kind")).alias("column"), "class_id", "links")
+
+
 def look_alike_classes(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
     """(id, column, text, skeleton): one row per row of ``rows`` and name in ``columns``, its text and the consistent form of it."""
     texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])).alias("x")

@@ -18,6 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,7 +60,7 @@ def _round_level(docs: DataFrame, seed: int, last: bool) -> DataFrame:
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["tokens", "doc_id"], ascending=False, kind="stable", ignore_index=True)
-        own = sum(map(ord, str(key[0]))) * 1_000_003 + int(key[1])
+        own = xxhash.xxh3_64_intdigest(f"{key[0]}\n{key[1]}") >> 1
         p, rest = pivotal(frame["p"].to_numpy(), seed * 7919 + own)
         if last and rest >= 0:
             p[rest] = float(np.random.default_rng(seed * 104_729 + own).random() < p[rest])
@@ -113,7 +114,13 @@ def mix_sources(
     is two documents. Tied sizes are ordered by doc_id; equal seeds give equal mixtures. Empty tables give an
     empty mixture. ``factor`` at an integer means exact copies and no chance at all.
     """
-    spark = documents.sparkSession
+    return _mixed(documents, targets, total, seed, id_column, text_column, vocabulary)[0]
+
+
+def _mixed(
+    documents: DataFrame, targets: DataFrame, total: float | None = None, seed: int = 17, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY
+) -> tuple[DataFrame, DataFrame]:
+    """The mixture and (source, available, docs) of what it was drawn from."""
     named = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
     counted = count_tokens(named.select(F.col(id_column).alias("doc_id"), "source", text_column), ["doc_id", "source"], text_column, vocabulary)
     counted = materialize(counted.where("tokens > 0"), "sizes")
@@ -138,21 +145,22 @@ def mix_sources(
         settled = state if last else state.where((F.col("p") == 0) | (F.col("p") == 1))
         done = settled if done is None else done.unionByName(settled)
         state = state.where((F.col("p") > 0) & (F.col("p") < 1)).withColumn("bucket", F.floor(F.col("bucket") / LEAF).cast("long"))
-    return done.select("doc_id", "source", "tokens", (F.col("base") + F.round("p")).cast("long").alias("copies")).where("copies > 0")
+    return done.select("doc_id", "source", "tokens", (F.col("base") + F.round("p")).cast("long").alias("copies")).where("copies > 0"), sizes
 
 
 def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
-    """Per target source: share wanted and reached, documents and tokens available and used, most copies of one document."""
-    vocabulary = options.get("vocabulary", VOCABULARY)
-    targets = targets.select("source", "target_share", "max_repeats").where(F.col("source").isNotNull())
-    used = mix_sources(documents, targets, **options).groupBy("source").agg(
-        F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies")
-    )
-    named = documents.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    sizes = count_tokens(named.select("source", "text"), ["source"], "text", vocabulary).groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
-    rows = (
-        targets.join(used, "source", "left").join(sizes, "source", "left")
-        .select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("available_tokens", "used_tokens", "used_docs", "most_copies")])
+    """Per target source: share wanted and reached, documents and tokens available and used, most copies and largest document.
+
+    Takes the options of ``mix_sources``. A source named several times in ``targets`` has one row, as it is used: its largest
+    share and number of repeats.
+    """
+    targets = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    mixture, sizes = _mixed(documents, targets, **options)
+    used = mixture.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("copies")).alias("used_tokens"), F.count("*").alias("used_docs"), F.max("copies").alias("most_copies"), F.max("tokens").alias("largest")
     )
+    sizes = sizes.select("source", F.col("available").alias("available_tokens"))
+    counts = ("available_tokens", "used_tokens", "used_docs", "most_copies", "largest")
+    rows = targets.join(used, "source", "left").join(sizes, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
     whole = rows.agg(F.sum("used_tokens").alias("whole"))
     return rows.crossJoin(F.broadcast(whole)).withColumn("reached_share", F.when(F.col("whole") > 0, F.round(F.col("used_tokens") / F.col("whole"), 6)).otherwise(0.0)).drop("whole")

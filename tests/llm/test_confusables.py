@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from lodestrand.llm.confusables import look_alike_pairs, skeleton_of, tables, with_skeleton
+from lodestrand.llm.confusables import look_alike_links, look_alike_pairs, skeleton_of, tables, with_skeleton
 from lodestrand.llm.queries import p2_forms
 
 
@@ -59,3 +59,12 @@ def test_forms_of_both_columns(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/pages.parquet")
     got = {(r.id, r["column"]): (r.text, r.skeleton) for r in p2_forms(spark, str(tmp_path)).collect()}
     assert got == {(1, "title"): ("Ｔorch", "Torch"), (1, "normalizedTitle"): ("tоrch", "torch"), (2, "title"): ("Rope", "Rope"), (2, "normalizedTitle"): (None, None)}
+
+
+def test_links_of_classes(spark):
+    rows = [(5, "Torch", None), (2, "Torch", "x"), (3, "Тorch", ""), (4, "Tоrch", "х"), (6, "Rope", "x"), (7, None, None)]
+    df = spark.createDataFrame(rows, "id bigint, title string, normal string")
+    got = {(r.id, r.column): (r.class_id, r.links) for r in look_alike_links(df, "id", ["title", "normal"]).collect()}
+    title = {5: (2, 2), 2: (2, 2), 3: (3, 2), 4: (4, 2), 6: (6, 0)}
+    assert got == {(i, "title"): v for i, v in title.items()} | {(2, "normal"): (2, 1), (6, "normal"): (2, 1), (4, "normal"): (4, 1)}
+    assert look_alike_links(df.limit(0), "id", ["title"]).count() == 0

@@ -56,3 +56,10 @@ def test_fixed_total_and_empty_tables(docs, targets):
     assert all(r.most_copies == r.max_repeats for s, r in report.items() if s != "none")
     assert mixing.mix_sources(docs.limit(0), targets).count() == 0
     assert mixing.mix_sources(docs, targets.limit(0)).count() == 0
+
+
+def test_report_takes_options_and_repeated_targets(spark, docs, targets):
+    named = docs.withColumnRenamed("text", "body").withColumnRenamed("doc_id", "key")
+    twice = targets.unionByName(targets.where("source = 'mid'").withColumn("target_share", targets["target_share"] / 2))
+    report = {r.source: r.asDict() for r in mixing.mixture_report(named, twice, id_column="key", text_column="body").collect()}
+    assert report == {r.source: r.asDict() for r in mixing.mixture_report(docs, targets).collect()} and len(report) == 4

@@ -67,3 +67,23 @@ def test_merge_of_long_fragments_equals_the_plain_one(encoder):
     for _ in range(30):
         piece = bytes(rng.choice(b"abcde ") for _ in range(300))
         assert encoder._merge_long(piece) == encoder.merge(piece)
+
+
+def test_workers_keep_few_vocabularies_by_content():
+    from lodestrand.llm import tokenize as tok
+
+    tok._encoders.clear()
+    files = ["/opt/tokenizers/byte_bpe_50k.tiktoken", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"]
+    made = [tok._encoder(f, lambda f=f: tok.read_vocabulary(f)) for f in files]
+    assert tok._encoder(files[0], None) is made[0] and tok._encoder(files[1], None) is made[1]
+    tok._encoder("third", lambda: tok.read_vocabulary(files[0]))
+    assert list(tok._encoders) == [files[1], "third"]
+
+
+def test_text_comes_back(spark):
+    from lodestrand.llm import tokenize as tok
+
+    texts = ["", "a b", "中文 текст 🙂", None, "x" * 5000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    back = {r.doc_id: r.text for r in tok.decode_corpus(tok.encode_corpus(df, "doc_id", "text"), "doc_id").collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}

@@ -97,3 +97,18 @@ def test_without_labels_or_documents(spark):
     assert [r.score for r in X.harm_scores(docs, labels)[0].collect()] == [0.0]
     assert X.harmful_documents(docs, labels.limit(0)).count() == 0
     assert X.harmful_documents(docs.limit(0), labels).count() == 0
+
+
+def test_held_out_figures_leave_the_fold_out_of_everything(table):
+    texts, truth = corpus(21, 900)
+    figures = X.held_out(texts, noisy(truth, 22), table)
+    assert figures["documents"] == 900 and figures["agreeing"] / figures["found"] > 0.85 and figures["agreeing"] / figures["rejected"] > 0.8
+    alone = ["quibberish snorfle twaddle"] * 1 + texts  # known to one document only: never found when left out
+    assert X.held_out(alone, [{"abusive"}] + noisy(truth, 22), table)["documents"] == 901
+
+
+def test_sample_is_bounded_in_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(20)] + [(99, "y" * 10_000)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, "ok") for i in [*range(20), 99]], "doc_id bigint, rater bigint, label string")
+    texts, marks = X.labelled_sample(docs, labels, most_bytes=1000)
+    assert sum(map(len, texts)) <= 1000 and len(texts) == len(marks) and len(X.labelled_sample(docs, labels)[0]) == 21
