@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrand.functions.extract import content_text
+from lodestrand.functions.lua import SYMBOLS
 from lodestrand.functions.rules import DEFAULT_RULES, Rules, category, first_valid, parse_rules, rule_values
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators import mirror, search
-from lodestrand.operators.index import META, SearchIndex
+from lodestrand.operators.index import META, SearchIndex, by_term, live_documents, live_postings, merge_from, superseded
 from lodestrand.sources.store import Manifest, Store
 from lodestrand.sources.work import materialize
 
@@ -145,7 +146,8 @@ class Engine:
             "source", "code", "chineseName", F.when(kind == "*", "Data").otherwise(kind).alias("dataType"), normal(F.col("chineseName")).alias("normalizedName"),
             normal(F.array_join("values", " ")).alias("normalizedSearchText"), F.transform("values", normal).alias("normalizedSearchValues"),
         )
-        return self.store.update(lambda _: ({"data": rows.dropDuplicates(["source"])}, {})).counts["data"]
+        state = {"data.key": self._key("data")}
+        return sum(self.store.update(lambda _: ({"data": rows.dropDuplicates(["source"])}, state)).counts["data"])
 
     # derived tables
 
@@ -154,57 +156,110 @@ class Engine:
         rules = hashlib.sha256(json.dumps(self.rules, sort_keys=True).encode()).hexdigest()[:32] if kind == "data" else ""
         return f"{kind}:{json.dumps(FORMATS, sort_keys=True)}:{self.analyzer.digest()}:{rules}"
 
-    def _derive(self, kind: str, rows: DataFrame) -> dict[str, DataFrame]:
-        """The derived tables of ``rows``: documents, and for title and content their postings."""
-        meta = ["id", *META]
+    def _derive(self, kind: str, rows: DataFrame) -> DataFrame:
+        """The documents of ``rows`` with their tokens: id, META, text, symbols, seq, tokens."""
+        meta, none = ["id", *META], F.lit(None).cast("string").alias("text")
+        symbols = F.lit(None).cast(SYMBOLS).alias("symbols")
+        live = search.live(rows).withColumn("seq", F.col("localSeq"))
         if kind == "lua":
-            return {kind: search.lua_documents(rows).select(*meta, "symbols", "text")}
-        live = search.live(rows)
-        if kind == "title":
-            docs = live.select(*meta, F.lit(None).cast("string").alias("text"), F.col("title").alias("source"))
+            docs = materialize(search.lua_documents(live).select(*meta, "text", "symbols", "seq"), "modules").withColumn("source", F.col("text"))
+        elif kind == "title":
+            docs = live.select(*meta, none, symbols, "seq", F.col("title").alias("source"))
         else:
             body = content_text(F.col("contentModel"), F.col("content"))
             bodies = live.where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull())
-            docs = materialize(bodies.select(*meta, body.alias("text")), "extracted").where("text <> ''").withColumn("source", F.col("text"))
-        tokens = materialize(docs.withColumn("tokens", self.analyzer.document_tokens(F.col("source"))), "tokens")
-        return {
-            kind: tokens.select(*meta, F.size("tokens").alias("field_len"), "text"),
-            f"{kind}.terms": tokens.select(F.explode_outer("tokens").alias("term"), "id").where(F.col("term").isNotNull()),
-        }
+            docs = materialize(bodies.select(*meta, body.alias("text"), symbols, "seq"), "extracted").where("text <> ''").withColumn("source", F.col("text"))
+        return materialize(docs.withColumn("tokens", self.analyzer.document_tokens(F.col("source"))).drop("source"), "tokens")
+
+    def _terms(self, tokens: DataFrame, *columns: str) -> DataFrame:
+        return tokens.select(F.explode_outer("tokens").alias("term"), *columns).where(F.col("term").isNotNull())
 
     def refresh(self, kind: str, rebuild: bool = False) -> str:
-        """Bring a derived table (title, content or lua) up to the facts: current, replayed or rebuilt."""
+        """Bring a derived table (title, content or lua) up to the facts: current, replayed or rebuilt.
+
+        A replay adds a part with the documents that changed, their postings and what they add to or take from the
+        vocabulary; the postings of their older states stay and are left out by their sequence numbers, until parts are merged
+        because they have come to a like size. What is written is in proportion to the change, but for these merges.
+        """
         done: list[str] = []
+        names = kind, f"{kind}.terms", f"{kind}.words"
 
-        def change(base: Manifest) -> tuple[dict[str, DataFrame], dict]:
+        def change(base: Manifest) -> tuple:
             through, key = base.state.get("local-sequence", 0), self._key(kind)
             usable = not rebuild and base.state.get(f"{kind}.key") == key and kind in base.tables
             # corrupt: facts are never touched, the index is made again
-            usable = usable and self.store.status(kind, 0) == "available"
+            usable = usable and all(self.store.status(n, 0) == "available" for n in names)
             since = base.state.get(f"{kind}.through", 0)
             done[:] = ["current" if usable and since == through else "replayed" if usable else "rebuilt"]
             if done == ["current"]:
                 return {}, {}
             # only rows above the sequence are read for a replay, the filter reaches the scan
             changed = self.latest(mirror.rows_after(self.parts("pages", base), since)) if usable else self.rows("pages", base)
-            tables = self._derive(kind, changed)
-            for name, fresh in tables.items():
-                if usable:
-                    old = self.store.read(name, base)
-                    fresh = old.join(changed.select("id"), "id", "left_anti").select(*fresh.columns).unionByName(fresh)
-                if name.endswith(".terms"):  # sorted, so that a search reads the row groups of its terms only
-                    n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-                    fresh = fresh.repartitionByRange(n, "term").sortWithinPartitions("term", "id")
-                tables[name] = fresh
-            return tables, {f"{kind}.through": through, f"{kind}.key": key}
+            tokens = self._derive(kind, changed)
+            docs = tokens.select("id", *META, F.size("tokens").alias("field_len"), "text", "symbols", "seq", F.lit(False).alias("removed"))
+            words = self._terms(tokens).groupBy("term").agg(F.count("*").alias("df"))
+            size = tokens.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("length")).first()
+            total = [size["n"], size["length"]]
+            state = {f"{kind}.through": through, f"{kind}.key": key}
+            if not usable:
+                return {kind: docs, f"{kind}.terms": by_term(self._terms(tokens, "id", "seq")), f"{kind}.words": by_term(words)}, state | {f"{kind}.total": total}
+            # the older states of what changed are analysed again from what is kept of them, the postings are not read
+            before = self.documents(kind, base).join(changed.select("id"), "id", "left_semi")
+            source = F.col("title") if kind == "title" else F.col("text")
+            before = materialize(before.select("id", self.analyzer.document_tokens(source).alias("tokens")), "before")
+            less = before.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("tokens")), F.lit(0)).alias("length")).first()
+            old = base.state[f"{kind}.total"]
+            state[f"{kind}.total"] = [old[0] + total[0] - less["n"], old[1] + total[1] - less["length"]]
+            gone = before.select("id").join(docs.select("id"), "id", "left_anti").join(changed.select("id", F.col("localSeq").alias("seq")), "id")
+            gone = gone.select("id", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in (*META, "field_len", "text", "symbols")], "seq", F.lit(True).alias("removed"))
+            words = words.unionByName(self._terms(before).groupBy("term").agg((-F.count("*")).alias("df")))
+            fresh = {kind: docs.unionByName(gone), f"{kind}.terms": self._terms(tokens, "id", "seq"), f"{kind}.words": words}
+            return {}, state, *self._with_merged(kind, base, fresh)
 
         self.store.update(change)
         return done[0]
 
+    def _with_merged(self, kind: str, base: Manifest, fresh: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
+        """The part to append, with the parts that are due merged into it, and how many parts stay before it.
+
+        Documents, postings and words are merged alike, so that a state and its postings always go together; removed
+        documents are forgotten when no older part is left that could hold them.
+        """
+        fresh[kind] = materialize(fresh[kind], "segment")
+        sizes = [*base.counts[kind], fresh[kind].count()]
+        keep = merge_from(sizes)
+        if keep < len(sizes):
+            tail = lambda name: self.spark.read.parquet(*base.tables[name][keep:])
+            docs = materialize(self.store.read(kind, base).unionByName(fresh[kind]).select("id", "seq"), "states")
+            dead = superseded(docs)
+            merged = tail(kind).unionByName(fresh[kind]).join(dead, "seq", "left_anti").select(*fresh[kind].columns)
+            terms = tail(f"{kind}.terms").unionByName(fresh[f"{kind}.terms"]).join(dead, "seq", "left_anti").select("term", "id", "seq")
+            words = tail(f"{kind}.words").unionByName(fresh[f"{kind}.words"])
+            fresh = {kind: merged if keep else merged.where(~F.col("removed")), f"{kind}.terms": terms, f"{kind}.words": words}
+        fresh[f"{kind}.words"] = fresh[f"{kind}.words"].groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0")
+        sorted_too = {n: by_term(d) if n != kind else d for n, d in fresh.items()}
+        return sorted_too, {n: min(keep, len(base.tables[n])) for n in fresh}
+
+    def _segments(self, kind: str, base: Manifest) -> tuple[DataFrame, DataFrame]:
+        """Documents of all parts, and those of all but the first."""
+        docs = self.store.read(kind, base)
+        later = base.tables[kind][1:]
+        return docs, self.spark.read.parquet(*later) if later else docs.limit(0)
+
     def index(self, kind: str) -> SearchIndex:
-        """Postings and statistics of ``title`` or ``content``."""
+        """Postings, documents and vocabulary of ``title``, ``content`` or ``lua``."""
         found = self.store.manifest()
-        return SearchIndex(self.store.read(f"{kind}.terms", found), self.store.read(kind, found).select("id", "field_len", *META))
+        terms, words = (self.store.read(f"{kind}.{n}", found) for n in ("terms", "words"))
+        docs, newer = self._segments(kind, found)
+        if len(found.tables[kind]) > 1:
+            terms, words = live_postings(terms, docs, newer), words.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+        return SearchIndex(terms.select("term", "id"), self.documents(kind, found).select("id", "field_len", *META), words, tuple(found.state[f"{kind}.total"]))
+
+    def documents(self, kind: str, base: Manifest | None = None) -> DataFrame:
+        """What is kept of every document of ``title``, ``content`` or ``lua``."""
+        base = base or self.store.manifest()
+        docs, newer = self._segments(kind, base)
+        return live_documents(docs, newer) if len(base.tables[kind]) > 1 else docs.where(~F.col("removed")).drop("removed")
 
     def status(self, kind: str) -> str:
         """Missing, outdated, corrupt, replay-required or available."""
@@ -227,14 +282,14 @@ class Engine:
             return search.combined_search(ranked, search.linear_search(self.rows(), query, a, namespace, limit), limit)
         if mode == "content":
             self.refresh("content")
-            return search.content_search(self.index("content"), self.store.read("content").select("id", "text"), query, a, namespace, limit)
+            return search.content_search(self.index("content"), self.documents("content").select("id", "text"), query, a, namespace, limit)
         if mode == "lua":
             self.refresh("lua")
-            return search.lua_search(self.store.read("lua"), query, a, limit)
+            return search.lua_search(self.documents("lua"), query, a, limit, index=self.index("lua"))
         if mode == "data":
             codes = self.store.read("data")
-            if codes is None:
-                raise LookupError("no data codes are loaded")
+            if codes is None or self.store.manifest().state.get("data.key") != self._key("data"):
+                raise LookupError("no data codes are loaded under these rules")
             return search.data_code_search(codes, query, a, limit)
         if mode == "file":
             return search.linear_search(self.rows("files"), query, a, None, limit)

@@ -7,6 +7,7 @@ the row groups whose range holds it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,22 +21,36 @@ META = ("title", "normalizedTitle", "namespace", "namespaceName")
 
 @dataclass
 class SearchIndex:
-    """postings (term, id) and stats (id, field_len, title, normalizedTitle, namespace, namespaceName)."""
+    """postings (term, id) and stats (id, field_len, title, normalizedTitle, namespace, namespaceName); where they are kept,
+    words (term, df) and (documents, terms of all of them)."""
 
     postings: DataFrame
     stats: DataFrame
+    words: DataFrame | None = None
+    totals: tuple[int, int] | None = None
 
     def save(self, path: str, partitions: int | None = None) -> None:
-        """Write both tables below ``path``."""
+        """Write the tables below ``path``, the vocabulary and the totals with them."""
         spark = self.postings.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.postings.repartitionByRange(n, "term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        saved = SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        by_term(vocabulary(saved)).write.mode("overwrite").parquet(f"{path}/words")
+        size = saved.stats.agg(F.count("*").alias("docs"), F.coalesce(F.sum("field_len"), F.lit(0)).cast("bigint").alias("terms"))
+        size.write.mode("overwrite").parquet(f"{path}/totals")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> SearchIndex:
         """Read what ``save`` wrote."""
-        return SearchIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
+        postings, stats, words, totals = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats", "words", "totals"))
+        return SearchIndex(postings, stats, words, tuple(totals.first()))
+
+
+def by_term(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Rows in ranges of terms, sorted: a lookup then reads the row groups of its terms only."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, "term").sortWithinPartitions("term")
 
 
 def tokenised(docs: DataFrame, text: str, analyzer: Analyzer) -> DataFrame:
@@ -76,6 +91,8 @@ def apply_changes(index: SearchIndex, changed: DataFrame, text: str, analyzer: A
 
 def vocabulary(index: SearchIndex) -> DataFrame:
     """Document frequency of every term."""
+    if index.words is not None:
+        return index.words
     return index.postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -84,3 +101,37 @@ def corpus_stats(index: SearchIndex) -> DataFrame:
     return index.stats.agg(
         F.count("*").alias("docs"), F.avg("field_len").alias("avg_len"), F.coalesce(F.sum("field_len"), F.lit(0)).alias("postings")
     )
+
+
+# segments: an index that is added to is a list of parts, each with its own postings, documents and words
+
+
+def superseded(docs: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(seq) of the states of documents that have a later one: as many as were replaced since they were last merged away.
+
+    ``newer`` are the parts that can hold later states, all but the first, in which every document has one state.
+    """
+    slim = docs.select("id", "seq")
+    top = (slim if newer is None else newer).groupBy("id").agg(F.max("seq").alias("top"))
+    return slim.join(top, "id").where(F.col("seq") < F.col("top")).select("seq")
+
+
+def live_documents(docs: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """The last state of every document (id, seq, removed and others) that is not removed."""
+    return docs.join(superseded(docs, newer), "seq", "left_anti").where(~F.col("removed")).drop("removed")
+
+
+def live_postings(postings: DataFrame, docs: DataFrame, newer: DataFrame | None = None) -> DataFrame:
+    """(term, id) without those of states that were replaced; a filter by term still reaches the scan."""
+    return postings.join(superseded(docs, newer), "seq", "left_anti").select("term", "id")
+
+
+def merge_from(sizes: Sequence[int]) -> int:
+    """How many parts stay, given the rows of all, so that each is more than twice as large as all after it together: a row is
+    then written anew only as often as the logarithm of what there is."""
+    keep, tail = len(sizes), 0
+    for i in range(len(sizes) - 1, -1, -1):
+        if sizes[i] <= 2 * tail:
+            keep = i
+        tail += sizes[i]
+    return keep if keep < len(sizes) - 1 or len(sizes) < 2 else len(sizes)

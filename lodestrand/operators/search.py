@@ -1,7 +1,7 @@
 """Ranked and linear search.
 
 A query string is small and analysed on the driver; everything after it is one Spark plan. A ranked search is:
-terms of the vocabulary that equal, extend or nearly equal a query term, their postings, one aggregation per
+words of the vocabulary that equal, extend or nearly equal a query term, their postings, one aggregation per
 document, the statistics of the documents hit, top-k. Whether all terms are required, or any of them because no
 document has all, is decided inside the plan, not by a second query.
 """
@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 
 from lodestrand.functions.lua import lua_symbols, searchable_text, typed_symbols
 from lodestrand.functions.text import Analyzer, compact_normalized, fuzzy_budget, snippet
-from lodestrand.operators.index import SearchIndex, build_index
+from lodestrand.operators.index import SearchIndex, build_index, vocabulary
 
 # our choice, after Lv and Zhai, Lower-Bounding Term Frequency Normalization (CIKM 2011)
 K, B, DELTA = 1.2, 0.7, 0.5
 PREFIX_WEIGHT, FUZZY_WEIGHT = 0.375, 0.45
 TERMS_A_MASK = 62
 DIGITS = 6
+NEAR_WORDS = 1_000  # looked up by name; more are found by reading
 
 
 def live(rows: DataFrame) -> DataFrame:
@@ -89,6 +90,20 @@ def _term_weights(terms: Sequence[str], fuzzy: bool) -> list[tuple[Column, Colum
     return out
 
 
+def _posting_filter(index: SearchIndex, terms: Sequence[str], weights: list[tuple[Column, Column]]) -> Column:
+    """Which postings can matter to a search that allows an edit: those of the prefixes, and of the words that nearly equal a
+    term. With a kept vocabulary these words are looked up first, so that the scan can skip all others; they are few, and
+    where they are not, every posting is looked at."""
+    starts = _joined(operator.or_, [F.col("term").startswith(t) for t in terms])
+    near = _joined(operator.or_, [m for m, _ in weights])
+    if index.words is None:
+        return near
+    found = [r.term for r in index.words.where(near & ~starts).select("term").limit(NEAR_WORDS + 1).collect()]  # at most so many rows
+    if len(found) > NEAR_WORDS:
+        return near
+    return _joined(operator.or_, [starts, *[F.col("term") == w for w in found]]) if len(found) <= 8 else starts | F.col("term").isin(found)
+
+
 def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy: bool = False, relax: bool = True) -> DataFrame:
     """Stats columns and base ``score`` of the documents with all ``terms``, or with any if none has all and ``relax``."""
     terms = list(dict.fromkeys(terms))
@@ -96,9 +111,15 @@ def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy:
     if not terms:
         return stats.withColumn("score", F.lit(0.0)).where(F.lit(False))
     weights = _term_weights(terms, fuzzy)
-    matched = index.postings.where(_joined(operator.or_, [m for m, _ in weights]))
-    size = index.stats.agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len"))  # one row
-    df = matched.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    is_hit = _joined(operator.or_, [m for m, _ in weights])
+    words = vocabulary(index).where(is_hit)
+    postings = index.postings.where(_posting_filter(index, terms, weights) if fuzzy else is_hit)
+    if index.totals is not None:
+        docs, length = index.totals
+        size = F.broadcast(index.stats.sparkSession.range(1).select(F.lit(docs).alias("n_docs"), F.lit(length / docs if docs else None).cast("double").alias("avg_len")))
+    else:
+        size = F.broadcast(index.stats.agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len")))  # one row
+    df = words.crossJoin(size)
     weight = _joined(operator.add, [F.when(m, w).otherwise(0.0) for m, w in weights])
     # which terms a document has, as many masks as they need
     masks = {}
@@ -107,9 +128,9 @@ def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy:
         masks[f"bits{len(masks)}"] = _joined(Column.bitwiseOR, parts)
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms_hit = df.select("term", (idf * weight).alias("gain"), *[bits.alias(n) for n, bits in masks.items()])
-    hits = matched.join(terms_hit, "term").groupBy("id").agg(F.sum("gain").alias("gain"), *[F.bit_or(n).alias(n) for n in masks])
+    hits = postings.join(terms_hit, "term").groupBy("id").agg(F.sum("gain").alias("gain"), *[F.bit_or(n).alias(n) for n in masks])
     length = (K + 1) / (1 + F.lit(K) * (1 - B + F.lit(B) * F.col("field_len") / F.col("avg_len"))) + DELTA
-    hits = hits.join(stats, "id").crossJoin(F.broadcast(size)).withColumn("score", F.col("gain") * length).withColumn("hit", _joined(operator.add, [F.bit_count(n) for n in masks]))
+    hits = hits.join(stats, "id").crossJoin(size).withColumn("score", F.col("gain") * length).withColumn("hit", _joined(operator.add, [F.bit_count(n) for n in masks]))
     if not relax or len(terms) == 1:
         return hits.where(F.col("hit") == len(terms)).drop("gain", *masks, "hit", "n_docs", "avg_len")
     most = hits.agg(F.max("hit").alias("most"))  # one row
@@ -171,14 +192,14 @@ def symbol_rank(value: Column, priority: Column, query: str, terms: Sequence[str
     return F.when(relevance > 0, relevance + priority)
 
 
-def lua_search(docs: DataFrame, query: str, analyzer: Analyzer, limit: int = 20, shown: int = 3) -> DataFrame:
+def lua_search(docs: DataFrame, query: str, analyzer: Analyzer, limit: int = 20, shown: int = 3, index: SearchIndex | None = None) -> DataFrame:
     """Q5: modules by their best symbol, then score: id, title, score, match_rank and the ``shown`` best symbols.
 
-    ``docs`` comes from ``lua_documents``. Symbols are ranked only for the documents that the index finds.
+    ``docs`` comes from ``lua_documents``, ``index`` is one of their texts, made here if there is none. Symbols are ranked only for the documents that the index finds.
     """
     normalized = analyzer.normalize_text(query)
     terms = analyzer.query_tokens(normalized)
-    hits = ranked_hits(build_index(docs, "text", analyzer), terms).select("id", "score")
+    hits = ranked_hits(index or build_index(docs, "text", analyzer), terms).select("id", "score")
     if not terms:
         return hits.select("id", F.lit("").alias("title"), "score", F.lit(0.0).alias("match_rank"), F.array().cast("array<struct<kind:string,value:string>>").alias("matches"))
     symbols = docs.join(hits, "id").select("id", F.posexplode(typed_symbols(F.col("symbols"))).alias("pos", "s")).select("id", "pos", "s.*")

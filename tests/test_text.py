@@ -55,6 +55,42 @@ def test_segmenters(spark):
     assert "B" in run(spark, Analyzer(segmenter=lambda t: ["A B"]).document_tokens, "z")[0]
 
 
+def test_dictionary_segmenter(spark):
+    from lodestrand.functions.segment import DictionarySegmenter
+
+    words = DictionarySegmenter.read(["防毒面具 50 n", "防毒 80", "面具 90", "医用 60", "兴奋剂 30", "兴奋 70", "", "x", "兴奋 1"])
+    assert words.cut("医用级兴奋剂") == ["医用", "级", "兴奋剂"] and words("防毒面具，abc1") == ["防毒", "面具", "防毒面具", "abc1"]
+    assert words("") == [] and words("， 。") == [] and DictionarySegmenter({})("中文 ab") == ["中", "文", "ab"]
+    assert len(words("兴" * 5000)) == 5000
+    a = Analyzer(segmenter=words.share(spark), engine="tiny")
+    tokens = run(spark, a.document_tokens, "医用级防毒面具", None)
+    assert {"防毒面具", "防毒", "医用"} <= set(tokens[0]) and tokens[1] == []
+    assert "防毒面具" in a.query_tokens("防毒面具") and a.digest() != Analyzer().digest()
+    with pytest.raises(ValueError):
+        Analyzer(segmenter=words).digest()
+
+
+def test_phrases(spark):
+    a = Analyzer(phrases={"滑鼠": "鼠标", "滑": "华", "a.c": "dot"}, simplified={ord("標"): "标"})
+    values = ["用滑鼠標", "滑 a.c abc", "", None]
+    assert run(spark, a.normalize, *values) == ["用鼠标标", "华 dot abc", "", None] and [a.normalize_text(v) for v in values[:3]] == ["用鼠标标", "华 dot abc", ""]
+
+
+def test_long_link_texts_and_deep_documents(spark):
+    import time
+
+    began = time.time()
+    assert run(spark, extract.wikitext, "[//" + "x" * 200_000, "[https://a.b c d] e", "[//a.b]c d]") == ["[//" + "x" * 200_000, "c d e", "d"]
+    assert time.time() - began < 60
+    for text_ in ['{"a": [1, 2.50, -0, 1e3, true, null, "x"], "a": {"b": ""}}', '[1, "\\ud83d\\ude00 \\ud800"]', " 12 ", '"\\u0041"', '{"2": 1, "1": 2}']:
+        assert extract.parse_json(text_) == extract.parse_deep_json(text_)
+    for bad in ("", "{", "[1,]", "NaN", "[Infinity]", '{"a" 1}', "01", "'a'", '"\t"', "[1] x"):
+        for parse in (extract.parse_json, extract.parse_deep_json):
+            with pytest.raises(ValueError):
+                parse(bad)
+    assert extract.json_token_text("[" * 100_000 + '"x"' + "]" * 100_000) == "x"
+
+
 def test_snippet(spark, analyzer):
     long = "x" * 50 + " Needle " + "y" * 100
     cut, direct, none, null = run(spark, lambda c: text.snippet(c, "needle", analyzer), long, "a needle", "nothing here", None)
