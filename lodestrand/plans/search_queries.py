@@ -17,6 +17,7 @@ from lodestrand.sources.work import fresh_path, materialize, spread, table
 PLAIN = Analyzer(compatibility=False)
 TITLE, FUZZY, COMBINED = "Gasket 背包", "gaskat", "Jasper"
 BODY_AND, BODY_OR, BODY_PREFIX = "generator 输液袋", "generator 输液袋 zzyzx", "tourni"
+BODY_PAGES, LUA = "体温计 渡口", "scalpel"
 MANY = ("背包", "模块", "Lantern", "jasper", "渡口", "")
 
 
@@ -95,19 +96,37 @@ def content_search_prefix(spark, sf_dir):
     return search.content_search(*body_index(spark, sf_dir), BODY_PREFIX, PLAIN).drop("snippet")
 
 
-def page_content_search(spark, sf_dir):
-    """Bodies extracted from wiki markup and JSON, everything on."""
-    a = full(spark)
+def _page_content(spark, sf_dir, query: str, a: Analyzer):
     rows = spread(titles(spark, sf_dir)).where(~F.coalesce("isRedirect", F.lit(False)) & F.col("content").isNotNull())
     # the extracted texts are a derived table of their own: index and snippets read it
     docs = materialize(rows.select("id", *META, content_text(F.col("contentModel"), F.col("content")).alias("text")), "extracted").where("text <> ''")
-    return search.content_search(build_index(docs, "text", a), docs.select("id", "text"), "體溫計 渡口", a)
+    return search.content_search(build_index(docs, "text", a), docs.select("id", "text"), query, a)
 
 
-def lua_search(spark, sf_dir):
-    a = full(spark)
+def page_content_search(spark, sf_dir):
+    """Bodies extracted from wiki markup and JSON."""
+    return _page_content(spark, sf_dir, BODY_PAGES, PLAIN)
+
+
+def page_content_search_full(spark, sf_dir):
+    """The same with everything on."""
+    return _page_content(spark, sf_dir, "體溫計 渡口", full(spark))
+
+
+def _lua_search(spark, sf_dir, a: Analyzer):
     docs = materialize(search.lua_documents(spread(pages(spark, sf_dir))).select("id", *META, "symbols", "text"), "modules")
-    return search.lua_search(docs, "scalpel", a).withColumn("matches", F.to_json("matches"))
+    found = search.lua_search(docs, LUA, a)
+    return found.withColumn("matches", F.array_join(F.transform("matches", lambda m: F.concat_ws("=", m["kind"], m["value"])), "; "))
+
+
+def lua_search(spark, sf_dir):
+    """Modules by their best symbol, with the three best."""
+    return _lua_search(spark, sf_dir, PLAIN)
+
+
+def lua_search_full(spark, sf_dir):
+    """The same with everything on."""
+    return _lua_search(spark, sf_dir, full(spark))
 
 
 def data_codes(spark, sf_dir) -> DataFrame:
@@ -163,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         title_linear_search, title_linear_namespace, file_search, linear_multi_query, title_ranked_search, title_search_fuzzy, title_combined_search,
-        title_search_full, content_search_and, content_search_or_fallback, content_search_namespace, content_search_prefix, page_content_search, lua_search,
+        title_search_full, content_search_and, content_search_or_fallback, content_search_namespace, content_search_prefix, page_content_search, page_content_search_full, lua_search, lua_search_full,
         data_code_search, vocab_df, corpus_statistics, field_lengths, index_incremental_equals_rebuild,
     )
 }
@@ -201,7 +220,7 @@ def _linear_sql(source: str, query: str, where: str = "true", limit: str = "LIMI
 FROM (SELECT *, {c} AS c FROM {source} WHERE {_LIVE} AND {where}) x WHERE strpos(c, '{q}') > 0 ORDER BY score DESC, id {limit}"""
 
 
-def _ranked_sql(source: str, meta: str, query: str, boost: str, where: str = "true", fuzzy: bool = False, relax: bool = True, limit: int = 20, extra: str = "") -> str:
+def _ranked_sql(source: str, meta: str, query: str, boost: str, where: str = "true", fuzzy: bool = False, relax: bool = True, limit: int = 20, extra: str = "", digits: str = "round({}, 6)") -> str:
     terms = list(dict.fromkeys(PLAIN.query_tokens(PLAIN.normalize_text(query))))
     arms = []
     for i, t in enumerate(terms):
@@ -213,7 +232,7 @@ size AS (SELECT count(*) AS n, avg(field_len) AS al FROM lens),
 wts AS (SELECT term, q, CAST(w AS DOUBLE) AS w FROM ({' UNION ALL '.join(arms)}) WHERE w IS NOT NULL),
 gain AS (SELECT tok.id, sum(ln(1 + (size.n - df.df + 0.5) / (df.df + 0.5)) * wts.w) AS g, count(DISTINCT wts.q) AS hit FROM tok JOIN wts USING (term) JOIN df USING (term), size GROUP BY tok.id),
 scored AS (SELECT meta.*, gain.hit, gain.g * (2.2 / (1 + 1.2 * (1 - 0.7 + 0.7 * lens.field_len / size.al)) + 0.5) AS base FROM gain JOIN lens ON lens.id = gain.id JOIN meta ON meta.id = gain.id, size WHERE {where}),
-top AS (SELECT *, round(base * {boost}, 6) AS score FROM scored WHERE {need} ORDER BY score DESC, id LIMIT {limit})
+top AS (SELECT *, {digits.format(f'base * {boost}')} AS score FROM scored WHERE {need} ORDER BY score DESC, id LIMIT {limit})
 SELECT id, title, namespace, score{extra} FROM top"""
 
 
@@ -257,6 +276,34 @@ s AS (SELECT source, code, chineseName, dataType, max(CASE WHEN strpos(c, '铁
   max(CASE WHEN strpos(lc, '铁锅') > 0 THEN 5000 - (strpos(lc, '铁锅') - 1) * 10 - length(lc) ELSE NULL END) AS k FROM c GROUP BY ALL)
 SELECT source, code, chineseName, dataType, CAST(greatest(f, coalesce(k, f)) AS DOUBLE) AS score FROM s WHERE f > 0 OR k IS NOT NULL ORDER BY score DESC, code COLLATE NOCASE, source LIMIT 20"""
 
+
+
+def page_content_sql(texts: str) -> str:
+    """Over ``texts``, a SELECT of id and text of extracted bodies."""
+    eligible = f"SELECT id FROM pages WHERE {_LIVE} AND NOT coalesce(isRedirect, false) AND content IS NOT NULL"
+    source = f"SELECT id, text FROM ({texts}) WHERE text <> '' AND id IN ({eligible})"
+    meta = f"SELECT p.id, p.title, p.namespace, p.normalizedTitle, s.text FROM pages p JOIN ({source}) s ON s.id = p.id"
+    boost = f"CASE WHEN strpos(coalesce({_compact('normalizedTitle')}, ''), '{PLAIN.compact_text(BODY_PAGES)}') > 0 THEN 3.0 ELSE 1.0 END"
+    return _ranked_sql(source, meta, BODY_PAGES, boost, extra=_snippet_sql(BODY_PAGES))
+
+
+def lua_search_sql(symbols: str) -> str:
+    """Over ``symbols``, a SELECT of id, kind, value, priority and place."""
+    q, c, terms = PLAIN.normalize_text(LUA), PLAIN.compact_text(LUA), list(dict.fromkeys(PLAIN.query_tokens(PLAIN.normalize_text(LUA))))
+    modules = f"SELECT s.id, string_agg(value, ' ') AS text FROM ({symbols}) s JOIN pages p ON p.id = s.id WHERE NOT coalesce(p.isRedirect, false) GROUP BY s.id"
+    hits = _ranked_sql(modules, f"SELECT id, title, namespace FROM pages WHERE {_LIVE}", LUA, "1.0", limit=1_000_000_000, digits="{}")
+    listed = ", ".join(f"'{t}'" for t in terms)
+    overlap = f"WITH {tokens_sql('SELECT DISTINCT value AS id, value AS text FROM sym')} SELECT id AS v, count(*) FILTER (term IN ({listed})) AS n FROM tok GROUP BY id"
+    flat = "trim(regexp_replace(lower(value), '\\s+', ' ', 'g'))"
+    return f"""WITH sym AS MATERIALIZED (SELECT * FROM ({symbols})), hits AS ({hits}), shared AS ({overlap}),
+forms AS (SELECT sym.*, {flat} AS flat, {_compact(flat)} AS tight, coalesce(shared.n, 0) AS n FROM sym JOIN hits ON hits.id = sym.id LEFT JOIN shared ON shared.v = sym.value),
+rel AS (SELECT *, CASE WHEN flat = '{q}' OR tight = '{c}' THEN 100.0 WHEN starts_with(flat, '{q}') OR starts_with(tight, '{c}') THEN 60.0 WHEN strpos(flat, '{q}') > 0 OR strpos(tight, '{c}') > 0 THEN 40.0 ELSE CAST(n AS DOUBLE) / {len(terms)} * 20 END AS r FROM forms),
+best AS (SELECT id, kind, value, CAST(r AS DOUBLE) + priority AS rank, row_number() OVER (PARTITION BY id ORDER BY CAST(r AS DOUBLE) + priority DESC, length(value), place) AS rn FROM rel WHERE r > 0),
+three AS (SELECT id, max(rank) AS match_rank, string_agg(kind || '=' || value, '; ' ORDER BY rn) AS matches FROM best WHERE rn <= 3 GROUP BY id)
+SELECT hits.id, hits.title, round(hits.score * CASE WHEN strpos({_compact('lower(hits.title)')}, '{c}') > 0 THEN 3.0 ELSE 1.0 END * (1 + coalesce(match_rank, 0) / 100), 6) AS score, coalesce(match_rank, 0.0) AS match_rank, matches
+FROM hits LEFT JOIN three ON three.id = hits.id ORDER BY match_rank DESC, score DESC, hits.id LIMIT 20"""
+
+
 ORACLES = {
     "title_linear_search": _linear_sql("pages", "背包"),
     "title_linear_namespace": _linear_sql("pages", "Lantern", "namespace = 828"),

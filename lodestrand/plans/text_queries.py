@@ -8,7 +8,7 @@ from lodestrand.functions import extract, lua, rules, text
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators.mirror import assign_sequence
 from lodestrand.operators.search import live
-from lodestrand.plans.search_queries import _CJK, _compact, full, tokens_sql
+from lodestrand.plans.search_queries import _CJK, _compact, full, lua_search_sql, page_content_sql, tokens_sql
 from lodestrand.sources.work import spread, table
 
 PLAIN = Analyzer(compatibility=False)
@@ -46,13 +46,19 @@ def latin_parts(spark, sf_dir):
 
 
 def trigrams(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", text.grams(F.col("p_name"), 3).alias("grams"))
+    return _pages(spark, sf_dir).select("id", text.grams(F.col("title"), 3).alias("grams"))
 
 
 def doc_tokens(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", F.sort_array(PLAIN.document_tokens(F.col("title"))).alias("tokens"))
 
 
+def doc_tokens_whole(spark, sf_dir):
+    """With the whole normalised text as a word, split again at blanks."""
+    whole = Analyzer(compatibility=False, segmenter="whole", engine="whole")
+    return _pages(spark, sf_dir).select("id", F.sort_array(whole.document_tokens(F.col("title"))).alias("tokens"))
+
+
 def cjk_tokens(spark, sf_dir):
     return _pages(spark, sf_dir).select("id", F.sort_array(text.cjk_tokens(F.col("title"))).alias("tokens"))
 
@@ -131,7 +137,7 @@ def byte_sizes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        normalize_text, normalize_full, compact_text, latin_runs, latin_parts, trigrams, doc_tokens, cjk_tokens, wikitext_text, decode_entities, json_tokens,
+        normalize_text, normalize_full, compact_text, latin_runs, latin_parts, trigrams, doc_tokens, doc_tokens_whole, cjk_tokens, wikitext_text, decode_entities, json_tokens,
         json_rule_values, json_wildcard_values, lua_symbols, lua_function_names, syntax_counts, corpus_profile, longest_docs, latency_percentiles, page_paths, byte_sizes,
     )
 }
@@ -160,6 +166,33 @@ def _entities_sql(c: str) -> str:
     return c
 
 
+# Lua that SQL's expressions can cut: comments to the end of a line, strings without escapes, flat tables
+_LUA_TOKEN = r"--[^\n]*|\[\[(?s:.*?)\]\]|''[^'']*''|\"[^\"]*\"|function\s+[A-Za-z_][A-Za-z0-9_.:]*\s*\(|require\s*\(|return\s*\{|return\s+[A-Za-z_][A-Za-z0-9_]*\s*;?\s*\z|[A-Za-z_][A-Za-z0-9_]*\s*=|[{}\[\]=]"
+# symbols (id, kind, value, priority, place) of every live module; places order the symbols of a module
+LUA_SYMBOLS_SQL = rf"""WITH cuts AS (SELECT id, regexp_extract_all(content, '{_LUA_TOKEN}') AS cut FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'scribunto' AND content IS NOT NULL),
+marks AS (SELECT id, unnest(cut) AS tok, unnest(generate_series(1, len(cut))) AS i FROM cuts),
+seen AS (SELECT *, max(CASE WHEN tok LIKE 'return%{{' THEN i END) OVER w AS opened, max(CASE WHEN tok = '}}' THEN i END) OVER w AS closed, lag(tok) OVER o AS prior, lead(tok) OVER o AS nxt, lead(tok, 2) OVER o AS nxt2
+  FROM marks WHERE tok NOT LIKE '--%' WINDOW w AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY id ORDER BY i)),
+texts AS (SELECT *, CASE WHEN left(tok, 1) IN (chr(39), chr(34)) THEN trim(substr(tok, 2, length(tok) - 2)) WHEN tok LIKE '[[%' THEN trim(substr(tok, 3, length(tok) - 4)) END AS text,
+  CASE WHEN left(nxt, 1) IN (chr(39), chr(34)) THEN trim(substr(nxt, 2, length(nxt) - 2)) END AS loaded, opened > coalesce(closed, 0) AS inside,
+  regexp_extract(tok, '^function\s+(.*?)\s*\($', 1) AS fn, regexp_extract(tok, '^return\s+([A-Za-z_][A-Za-z0-9_]*)\s*;?\s*$', 1) AS root FROM seen),
+roots AS (SELECT id, root FROM texts WHERE root <> ''),
+found AS (SELECT id, 'function' AS kind, fn AS value, 4 AS priority, i AS place FROM texts WHERE fn <> ''
+  UNION ALL SELECT id, 'return-key', text, 3, i FROM texts WHERE inside AND prior = '[' AND nxt = ']' AND nxt2 = '=' AND text IS NOT NULL
+  UNION ALL SELECT id, 'return-key', regexp_extract(tok, '^[A-Za-z0-9_]+'), 3, i FROM texts WHERE inside AND regexp_matches(tok, '^[A-Za-z_][A-Za-z0-9_]*\s*=$')
+  UNION ALL SELECT t.id, 'return-key', regexp_extract(substr(t.fn, length(r.root) + 2), '^[^.:]+'), 3, 1000000 + i FROM texts t JOIN roots r ON r.id = t.id WHERE starts_with(t.fn, r.root || '.') OR starts_with(t.fn, r.root || ':')
+  UNION ALL SELECT id, 'dependency', loaded, 2, i FROM texts WHERE tok LIKE 'require%(' AND loaded <> ''
+  UNION ALL SELECT id, 'string', text, 1, i FROM texts WHERE text <> '')
+SELECT id, kind, value, priority, priority * -100000000 + min(place) AS place FROM found GROUP BY id, kind, value, priority"""
+
+
+def _page_path_sql() -> str:
+    encoded = "url_encode(replace(title, ' ', '_'))"
+    for code, sign in (*text.PLAIN_SIGNS.items(), ("%2A", "*")):
+        encoded = f"replace({encoded}, '{code}', '{sign.replace(chr(39), chr(39) * 2)}')"
+    return encoded
+
+
 _BSON = "NOT coalesce(deleted, false) AND lower(contentModel) = 'bson' AND content IS NOT NULL"
 _P = "SELECT id, title AS text FROM pages"
 _SORTED = "list_sort(coalesce(list(term) FILTER (term IS NOT NULL), []))"
@@ -174,7 +207,7 @@ p AS (SELECT run, low AS term FROM c WHERE bare <> '' UNION SELECT run, term FRO
   UNION SELECT run, term FROM (SELECT run, unnest(string_split_regex(sp, '[ ._]+')) AS term FROM c) WHERE term <> ''
   UNION SELECT run, substr(bare, CAST(i AS BIGINT), 3) FROM (SELECT run, bare, unnest(generate_series(1, length(bare) - 2)) AS i FROM c WHERE length(bare) >= 4))
 SELECT r.run, list_sort(coalesce(list(p.term) FILTER (p.term IS NOT NULL), [])) AS parts FROM r LEFT JOIN p ON p.run = r.run GROUP BY r.run""",
-    "trigrams": "SELECT p_partkey, list_transform(generate_series(1, length(p_name) - 2), lambda i: substr(p_name, CAST(i AS BIGINT), 3)) AS grams FROM part",
+    "trigrams": "SELECT id, CASE WHEN title IS NOT NULL THEN list_transform(generate_series(1, length(title) - 2), lambda i: substr(title, CAST(i AS BIGINT), 3)) ELSE [] END AS grams FROM pages",
     "doc_tokens": f"WITH {tokens_sql(_P)} SELECT src.id, {_SORTED} AS tokens FROM src LEFT JOIN tok ON tok.id = src.id GROUP BY src.id",
     "cjk_tokens": f"WITH {tokens_sql(_P)} SELECT src.id, {_SORTED} AS tokens FROM src LEFT JOIN (SELECT * FROM tok WHERE regexp_matches(term, '[{_CJK}]')) tok ON tok.id = src.id GROUP BY src.id",
     "wikitext_text": f"SELECT id, {_wikitext_sql('content')} AS text FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'wikitext' AND content IS NOT NULL",
@@ -185,6 +218,13 @@ k AS (SELECT t.page, t.id AS pos, 0 AS part, t.key AS token FROM t JOIN t AS u O
   UNION ALL SELECT page, id, 1, CASE WHEN type = 'DOUBLE' THEN regexp_replace(atom ->> '$', '\\.0+$', '') ELSE trim(atom ->> '$') END FROM t WHERE type NOT IN ('OBJECT', 'ARRAY', 'NULL') AND trim(atom ->> '$') <> ''),
 f AS (SELECT page, token, min(pos * 2 + part) AS pos FROM k GROUP BY page, token)
 SELECT b.id, trim(regexp_replace(coalesce(string_agg(f.token, ' ' ORDER BY f.pos), ''), '\\s+', ' ', 'g')) AS text FROM (SELECT id FROM pages WHERE {_BSON}) b LEFT JOIN f ON f.page = b.id GROUP BY b.id""",
+    "json_wildcard_values": f"""WITH t AS (SELECT p.id AS page, CASE WHEN j.type = 'DOUBLE' THEN regexp_replace(j.atom ->> '$', '\\.0+$', '') ELSE trim(j.atom ->> '$') END AS token
+  FROM (SELECT id, content FROM pages WHERE {_BSON} AND json_valid(content)) p, json_tree(p.content, '$.locales') j WHERE j.type NOT IN ('OBJECT', 'ARRAY', 'NULL'))
+SELECT b.id, list_sort(coalesce(list(DISTINCT t.token) FILTER (t.token <> ''), [])) AS found FROM (SELECT id FROM pages WHERE {_BSON}) b LEFT JOIN t ON t.page = b.id GROUP BY b.id""",
+    "lua_symbols": f"SELECT id, kind, value, priority FROM ({LUA_SYMBOLS_SQL})",
+    "page_paths": "SELECT id, " + _page_path_sql() + """ AS path, '[[' || CASE WHEN namespace IN (6, 14) THEN ':' ELSE '' END || title || CASE WHEN lower(title) = 'x' THEN '' ELSE '|x' END || ']]' AS link FROM pages""",
+    "doc_tokens_whole": f"""WITH {tokens_sql(_P)}, every AS (SELECT id, term FROM tok UNION SELECT id, unnest(string_split(trim(regexp_replace(lower(text), '{_BLANK}', ' ', 'g')), ' ')) FROM src)
+SELECT src.id, list_sort(coalesce(list(term) FILTER (term <> ''), [])) AS tokens FROM src LEFT JOIN every ON every.id = src.id GROUP BY src.id""",
     "json_rule_values": f"SELECT id, list_sort(list_distinct(list_filter([trim(content ->> '$.locales.zh-CN.name'), trim(content ->> '$.id')], lambda x: x <> ''))) AS found FROM (SELECT id, CASE WHEN json_valid(content) THEN content END AS content FROM pages WHERE {_BSON})",
     "lua_function_names": r"SELECT id, unnest(regexp_extract_all(content, 'function\s+([A-Za-z_][A-Za-z0-9_.:]*)\s*\(', 1)) AS name FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'scribunto' AND content IS NOT NULL",
     "syntax_counts": "SELECT " + ", ".join(f"count(*) FILTER (contains(content, {'chr(10) || ' if p[0] == chr(10) else ''}'{p.strip(chr(10)).replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in PATTERNS.items()) + " FROM pages",
@@ -194,3 +234,6 @@ SELECT b.id, trim(regexp_replace(coalesce(string_agg(f.token, ' ' ORDER BY f.pos
 SELECT event_type, max(value) FILTER (rn = least(floor(n * 0.5) + 1, n)) AS p50, max(value) FILTER (rn = least(floor(n * 0.95) + 1, n)) AS p95, max(value) AS worst FROM r GROUP BY event_type""",
     "byte_sizes": "SELECT id, sha256(content) AS sha256, CASE WHEN strlen(content) < 1024 THEN strlen(content) || ' B' WHEN strlen(content) < 1048576 THEN format('{:.1f} KiB', round(strlen(content) / 1024.0, 1)) ELSE format('{:.1f} MiB', round(strlen(content) / 1048576.0, 1)) END AS size FROM pages WHERE content IS NOT NULL",
 }
+# searches over what is extracted here
+ORACLES["page_content_search"] = page_content_sql(f"SELECT * FROM ({ORACLES['wikitext_text']}) UNION ALL SELECT * FROM ({ORACLES['json_tokens']})")
+ORACLES["lua_search"] = lua_search_sql(LUA_SYMBOLS_SQL)
