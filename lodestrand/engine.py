@@ -34,10 +34,16 @@ FORMATS = {"facts": 1, "tokens": 1, "modules": 1, "extraction": 1}
 
 
 class Engine:
-    """A mirror at ``root``. ``rules`` select the searched fields of data pages."""
+    """A mirror at ``root``. ``rules`` select the searched fields of data pages.
 
-    def __init__(self, spark: SparkSession, root: str, analyzer: Analyzer | None = None, rules: str | None = None):
-        self.spark, self.analyzer = spark, analyzer or Analyzer()
+    With ``warm`` the indexes that are searched are kept in the executors' memory (what does not fit, or is lost with an
+    executor, is read again), one version of each.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, analyzer: Analyzer | None = None, rules: str | None = None, warm: bool = False):
+        self.spark, self.analyzer, self.warm = spark, analyzer or Analyzer(), warm
+        self._sound: set[str] = set()  # parts whose integrity this engine has checked
+        self._kept: dict[str, tuple[list[str], SearchIndex, DataFrame]] = {}
         self.rules: Rules = parse_rules(first_valid([rules, DEFAULT_RULES]))
         self.store = Store(spark, root, {"facts": FORMATS["facts"]})
 
@@ -188,7 +194,7 @@ class Engine:
             through, key = base.state.get("local-sequence", 0), self._key(kind)
             usable = not rebuild and base.state.get(f"{kind}.key") == key and kind in base.tables
             # corrupt: facts are never touched, the index is made again
-            usable = usable and all(self.store.status(n, 0) == "available" for n in names)
+            usable = usable and all(self._is_sound(n, base) for n in names)
             since = base.state.get(f"{kind}.through", 0)
             done[:] = ["current" if usable and since == through else "replayed" if usable else "rebuilt"]
             if done == ["current"]:
@@ -216,9 +222,23 @@ class Engine:
             fresh = {kind: docs.unionByName(gone), f"{kind}.terms": self._terms(tokens, "id", "seq"), f"{kind}.words": words}
             return {}, state, *self._with_merged(kind, base, fresh)
 
-        self.store.update(change)
+        if rebuild or not self._current(kind) or change(self.store.manifest()) != ({}, {}):
+            self.store.update(change)
         return done[0]
 
+    def _current(self, kind: str) -> bool:
+        """Whether nothing was committed since a derived table was made, so that no version needs to be."""
+        state = self.store.manifest().state
+        return state.get(f"{kind}.key") == self._key(kind) and state.get(f"{kind}.through", 0) == state.get("local-sequence", 0)
+
+    def _is_sound(self, name: str, base: Manifest) -> bool:
+        """Whether the parts of a table are as they were written; looked at once by each engine."""
+        if not self._sound.issuperset(base.tables.get(name, [])):
+            if self.store.status(name, 0) != "available":
+                return False
+            self._sound.update(base.tables[name])
+        return True
+
     def _with_merged(self, kind: str, base: Manifest, fresh: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], dict[str, int]]:
         """The part to append, with the parts that are due merged into it, and how many parts stay before it.
 
@@ -255,6 +275,21 @@ class Engine:
             terms, words = live_postings(terms, docs, newer), words.groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
         return SearchIndex(terms.select("term", "id"), self.documents(kind, found).select("id", "field_len", *META), words, tuple(found.state[f"{kind}.total"]))
 
+    def searched(self, kind: str) -> tuple[SearchIndex, DataFrame]:
+        """``index`` and ``documents``, from memory if the engine is warm."""
+        if not self.warm:
+            return self.index(kind), self.documents(kind)
+        paths = [p for n in (kind, f"{kind}.terms", f"{kind}.words") for p in self.store.manifest().tables[n]]
+        if kind not in self._kept or self._kept[kind][0] != paths:
+            if kind in self._kept:
+                _, old, docs = self._kept.pop(kind)
+                for df in (old.postings, old.stats, old.words, docs):
+                    df.unpersist()
+            found, docs = self.index(kind), self.documents(kind)
+            parts = [df.persist() for df in (by_term(found.postings), found.stats, by_term(found.words), docs)]
+            self._kept[kind] = paths, SearchIndex(*parts[:3], found.totals), parts[3]
+        return self._kept[kind][1:]
+
     def documents(self, kind: str, base: Manifest | None = None) -> DataFrame:
         """What is kept of every document of ``title``, ``content`` or ``lua``."""
         base = base or self.store.manifest()
@@ -276,16 +311,16 @@ class Engine:
     def search(self, mode: str, query: str, namespace: int | None = None, limit: int = 20) -> DataFrame:
         """Q8: one of MODES; derived tables are brought up to date first."""
         a = self.analyzer
+        if mode in ("title", "content", "lua"):
+            self.refresh(mode)
+            index, docs = self.searched(mode)
         if mode == "title":
-            self.refresh("title")
-            ranked = search.title_search(self.index("title"), query, a, namespace, limit)
+            ranked = search.title_search(index, query, a, namespace, limit)
             return search.combined_search(ranked, search.linear_search(self.rows(), query, a, namespace, limit), limit)
         if mode == "content":
-            self.refresh("content")
-            return search.content_search(self.index("content"), self.documents("content").select("id", "text"), query, a, namespace, limit)
+            return search.content_search(index, docs.select("id", "text"), query, a, namespace, limit)
         if mode == "lua":
-            self.refresh("lua")
-            return search.lua_search(self.documents("lua"), query, a, limit, index=self.index("lua"))
+            return search.lua_search(docs, query, a, limit, index=index)
         if mode == "data":
             codes = self.store.read("data")
             if codes is None or self.store.manifest().state.get("data.key") != self._key("data"):

@@ -114,12 +114,12 @@ def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy:
     is_hit = _joined(operator.or_, [m for m, _ in weights])
     words = vocabulary(index).where(is_hit)
     postings = index.postings.where(_posting_filter(index, terms, weights) if fuzzy else is_hit)
-    if index.totals is not None:
-        docs, length = index.totals
-        size = F.broadcast(index.stats.sparkSession.range(1).select(F.lit(docs).alias("n_docs"), F.lit(length / docs if docs else None).cast("double").alias("avg_len")))
-    else:
+    size, columns = None, ["n_docs", "avg_len"]
+    if index.totals is None:
         size = F.broadcast(index.stats.agg(F.count("*").alias("n_docs"), F.avg("field_len").alias("avg_len")))  # one row
-    df = words.crossJoin(size)
+    docs, of_all = index.totals or (0, 0)
+    sized = lambda df: df.crossJoin(size) if size is not None else df.withColumns({"n_docs": F.lit(docs), "avg_len": F.lit(of_all / docs if docs else None).cast("double")})
+    df = sized(words)
     weight = _joined(operator.add, [F.when(m, w).otherwise(0.0) for m, w in weights])
     # which terms a document has, as many masks as they need
     masks = {}
@@ -130,11 +130,11 @@ def ranked_hits(index: SearchIndex, terms: Sequence[str], namespace=None, fuzzy:
     terms_hit = df.select("term", (idf * weight).alias("gain"), *[bits.alias(n) for n, bits in masks.items()])
     hits = postings.join(terms_hit, "term").groupBy("id").agg(F.sum("gain").alias("gain"), *[F.bit_or(n).alias(n) for n in masks])
     length = (K + 1) / (1 + F.lit(K) * (1 - B + F.lit(B) * F.col("field_len") / F.col("avg_len"))) + DELTA
-    hits = hits.join(stats, "id").crossJoin(size).withColumn("score", F.col("gain") * length).withColumn("hit", _joined(operator.add, [F.bit_count(n) for n in masks]))
+    hits = sized(hits.join(stats, "id")).withColumn("score", F.col("gain") * length).withColumn("hit", _joined(operator.add, [F.bit_count(n) for n in masks]))
     if not relax or len(terms) == 1:
-        return hits.where(F.col("hit") == len(terms)).drop("gain", *masks, "hit", "n_docs", "avg_len")
+        return hits.where(F.col("hit") == len(terms)).drop("gain", *masks, "hit", *columns)
     most = hits.agg(F.max("hit").alias("most"))  # one row
-    return hits.crossJoin(F.broadcast(most)).where((F.col("hit") == len(terms)) | (F.col("most") < len(terms))).drop("gain", *masks, "hit", "n_docs", "avg_len", "most")
+    return hits.crossJoin(F.broadcast(most)).where((F.col("hit") == len(terms)) | (F.col("most") < len(terms))).drop("gain", *masks, "hit", *columns, "most")
 
 
 def _top(hits: DataFrame, score: Column, limit: int | None, *extra: str) -> DataFrame:
