@@ -39,12 +39,17 @@ def window_from(feed: DataFrame, through: Column, overlap: str = "5 minutes") ->
     return feed.where(F.col("timestamp") >= through - F.expr(f"INTERVAL {overlap}"))
 
 
-def new_events(feed: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """The first arrival of every rcid that is not among ``seen``; rows without rcid are left out."""
-    keys = feed.where(F.col("rcid").isNotNull()).groupBy("rcid").agg(F.min("delivery_id").alias("delivery_id"))
+def new_events(feed: DataFrame, seen: DataFrame | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """The first arrival of every rcid that is not among ``seen``; rows without rcid or ``delivery_id`` are left out.
+
+    One aggregation by rcid that carries ``columns`` (default all), so only those are read and shuffled.
+    """
+    own = [c for c in columns or feed.columns if c not in ("rcid", "delivery_id")]
+    rows = feed.where(F.col("rcid").isNotNull() & F.col("delivery_id").isNotNull())
+    first = rows.groupBy("rcid").agg(F.min("delivery_id").alias("delivery_id"), *([F.min_by(F.struct(*own), "delivery_id").alias("_r")] if own else []))
     if seen is not None:
-        keys = keys.join(seen.select("rcid"), "rcid", "left_anti")
-    return feed.join(keys.select("delivery_id"), "delivery_id", "left_semi")
+        first = first.join(seen.select("rcid").where(F.col("rcid").isNotNull()), "rcid", "left_anti")
+    return first.select(*[F.col(f"_r.{c}").alias(c) if c in own else F.col(c) for c in columns or feed.columns])
 
 
 def retained_markers(previous: DataFrame, events: DataFrame, through: Column, overlap: str = "5 minutes") -> DataFrame:

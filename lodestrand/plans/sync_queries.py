@@ -36,7 +36,7 @@ def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rc_dedup(spark, sf_dir):
-    return mirror.new_events(_feed(spark, sf_dir)).select(*EVENT)
+    return mirror.new_events(_feed(spark, sf_dir), columns=EVENT)
 
 
 def rc_overlap_window(spark, sf_dir):
@@ -50,7 +50,7 @@ def rc_retained_markers(spark, sf_dir):
 
 
 def rc_latest_per_page(spark, sf_dir):
-    return mirror.latest_per_page(mirror.new_events(_feed(spark, sf_dir)))
+    return mirror.latest_per_page(mirror.new_events(_feed(spark, sf_dir), columns=["delivery_id", "rcid", "type", "pageid", "revid", "logtype"]))
 
 
 def rc_affected_titles(spark, sf_dir):
@@ -70,14 +70,14 @@ def reconcile_sweep(spark, sf_dir):
 
 
 def rc_tombstones(spark, sf_dir):
-    events, pages = mirror.new_events(_feed(spark, sf_dir)), table(spark, sf_dir, "pages")
+    events, pages = mirror.new_events(_feed(spark, sf_dir), columns=["rcid", "type", "logtype", "logaction", "pageid", "title"]), table(spark, sf_dir, "pages")
     gone = events.where("type = 'log' and logtype = 'delete' and logaction in ('delete', 'delete_redir') and pageid = 0").select("title")
     active = events.where("type = 'new'").select(F.col("pageid").alias("id")).distinct()
     return mirror.tombstones_by_name(pages, gone, active).select("id", "title", "deleted", "content")
 
 
 def rc_sequence_assign(spark, sf_dir):
-    return mirror.assign_sequence(mirror.new_events(_feed(spark, sf_dir)).select("delivery_id", "rcid"), ["delivery_id"], base=1000)
+    return mirror.assign_sequence(mirror.new_events(_feed(spark, sf_dir), columns=["delivery_id", "rcid"]), ["delivery_id"], base=1000)
 
 
 def batch_chunks(spark, sf_dir):

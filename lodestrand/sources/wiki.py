@@ -1,7 +1,7 @@
 """Remote lists as Spark data source (S1 to S9, F26, M17, M18): pages of results by namespace.
 
 ``spark.dataSource.register(WikiSource)``, then ``spark.read.format("wiki_list").option("url", ...)``. One input
-partition per namespace (one for the change log and for data documents) follows the continuation of its list. The fetch function is a parameter, so that tests and other
+partition per namespace, per slice of the change log's time (option ``slices``) and one for data documents follows the continuation of its list. The fetch function is a parameter, so that tests and other
 transports need no network.
 """
 
@@ -12,7 +12,7 @@ import time
 import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 from email.utils import parsedate_to_datetime
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -149,9 +149,19 @@ def data_of(url: str, keys: list[str] | None = None, fetch: Callable[[str], dict
     raise RemoteError("toolong", f"more than {most} pages")
 
 
+def time_slices(start: str, end: str, count: int) -> list[tuple[str, str]]:
+    """A closed range of whole seconds as at most ``count`` ranges that follow one another without an overlap."""
+    first, last = (int(parsedate(t).timestamp()) for t in (start, end))
+    if last < first:
+        return []
+    size = -(-(last - first + 1) // max(count, 1))
+    form = lambda t: datetime.fromtimestamp(t, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+    return [(form(t), form(min(t + size - 1, last))) for t in range(first, last + 1, size)]
+
+
 class _Part(InputPartition):
-    def __init__(self, number: int):
-        self.number = number
+    def __init__(self, number: int, start: str = "", end: str = ""):
+        self.number, self.start, self.end = number, start, end
 
 
 class _Reader(DataSourceReader):
@@ -162,6 +172,9 @@ class _Reader(DataSourceReader):
         if self.options.get("list", "pages") == "pages":
             given = self.options.get("namespaces")
             return [_Part(int(n)) for n in given.split(",")] if given else [_Part(n) for n, _ in namespaces_of(self.options["url"])]
+        if self.options["list"] == "changes":
+            slices = time_slices(self.options["start"], self.options["end"], int(self.options.get("slices", "8")))
+            return [_Part(i, *s) for i, s in enumerate(slices)] or [_Part(0, self.options["start"], self.options["end"])]
         return [_Part(0)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -169,12 +182,12 @@ class _Reader(DataSourceReader):
         if kind == "pages":
             return pages_of(url, partition.number, size=int(self.options.get("size", "500")))
         if kind == "changes":
-            return changes_of(url, self.options["start"], self.options["end"])
+            return changes_of(url, partition.start, partition.end, size=int(self.options.get("size", "500")))
         return data_of(url, self.options["keys"].split(",") if self.options.get("keys") else None)
 
 
 class WikiSource(DataSource):
-    """Format ``wiki_list``; options url, list (pages, changes or data), namespaces (all but files if not given), size, start, end, keys."""
+    """Format ``wiki_list``; options url, list (pages, changes or data), namespaces (all but files if not given), size, start, end, slices, keys."""
 
     @classmethod
     def name(cls) -> str:

@@ -36,7 +36,7 @@ class FeedMirror:
             if known is not None and edges["low"] is not None:
                 # rcid rises with time: the bound reaches the scan and skips the parts of old events
                 known = known.where(F.col("rcid") >= edges["low"])
-            fresh = new_events(batch, known).select(*self.columns)
+            fresh = new_events(batch, known, self.columns)
             through = max(filter(None, (base.state.get("through"), edges["top"] and str(edges["top"]))), default="")
             return {}, {"through": through}, {"events": fresh}
 

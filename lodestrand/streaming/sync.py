@@ -171,7 +171,8 @@ class Sync:
             cursor = base.state.get("changes.through") or base.state["pages.complete"]
             window = mirror.window_from(feed, F.lit(cursor).cast("timestamp"), self.overlap).where(F.col("timestamp") <= F.lit(through).cast("timestamp"))
             markers = engine.store.read("markers", base)
-            events = materialize(mirror.new_events(window, markers), "events")
+            wanted = ["delivery_id", "rcid", "type", "ns", "title", "pageid", "revid", "timestamp", "logtype", "logparams"]
+            events = materialize(mirror.new_events(window, markers, wanted), "events")
             asked, titles = candidates(events)
             info = materialize(last_answers(self.lookup(asked.select("pageid").distinct(), titles), asked), "info")
             stored, files = engine.rows("pages", base), engine.rows("files", base)

@@ -241,3 +241,10 @@ def test_a_cluster_has_to_name_its_shared_folder(spark):
             assert not good
         except AttributeError:  # the stand-in has no folder to give
             assert good
+
+
+def test_time_is_sliced_without_gap_or_overlap():
+    slices = wiki.time_slices("2025-05-01T00:00:00Z", "2025-05-01T00:00:09Z", 3)
+    assert slices == [("2025-05-01T00:00:00Z", "2025-05-01T00:00:03Z"), ("2025-05-01T00:00:04Z", "2025-05-01T00:00:07Z"), ("2025-05-01T00:00:08Z", "2025-05-01T00:00:09Z")]
+    assert wiki.time_slices("2025-05-01T00:00:00Z", "2025-05-01T00:00:00Z", 8) == [("2025-05-01T00:00:00Z", "2025-05-01T00:00:00Z")]
+    assert wiki.time_slices("2025-05-01T00:00:01Z", "2025-05-01T00:00:00Z", 8) == []
