@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from lodestrand.functions import extract, lua, rules, text
+from lodestrand.functions.charmaps import simplified_table
 from lodestrand.functions.text import Analyzer
 from lodestrand.operators.mirror import assign_sequence
 from lodestrand.operators.search import live
@@ -237,3 +241,27 @@ SELECT event_type, max(value) FILTER (rn = least(floor(n * 0.5) + 1, n)) AS p50,
 # searches over what is extracted here
 ORACLES["page_content_search"] = page_content_sql(f"SELECT * FROM ({ORACLES['wikitext_text']}) UNION ALL SELECT * FROM ({ORACLES['json_tokens']})")
 ORACLES["lua_search"] = lua_search_sql(LUA_SYMBOLS_SQL)
+
+
+def mapped_sql(source: str, table: dict[str, str]) -> str:
+    """A SELECT of key and text with every character replaced by ``table`` and composed again (SQL has no decomposition)."""
+    quoted = lambda v: "'" + v.replace("'", "''") + "'"
+    rows = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in table.items())
+    return f"""(WITH src AS ({source}), m(k, v) AS (VALUES {rows}),
+c AS (SELECT key, i, substr(text, CAST(i AS BIGINT), 1) AS ch FROM (SELECT key, text, unnest(generate_series(1, length(text))) AS i FROM src)),
+j AS (SELECT c.key, nfc_normalize(string_agg(coalesce(m.v, c.ch), '' ORDER BY c.i)) AS text FROM c LEFT JOIN m ON m.k = c.ch GROUP BY c.key)
+SELECT src.key, CASE WHEN src.text IS NULL THEN NULL ELSE coalesce(j.text, '') END AS text FROM src LEFT JOIN j ON j.key = src.key)"""
+
+
+@functools.lru_cache(maxsize=1)
+def late_oracles(spark) -> dict[str, str]:
+    """SQL with the character tables of ICU, which a running session gives."""
+    compatible = {}
+    for point in range(0x80, 0x110000):
+        ch = chr(point)
+        if not 0xD800 <= point <= 0xDFFF and unicodedata.decomposition(ch) and (plain := unicodedata.normalize("NFKD", ch)) != unicodedata.normalize("NFD", ch):
+            compatible[ch] = plain
+    simple = simplified_table(spark)
+    before, after = "".join(map(chr, simple)), "".join(simple.values())
+    folded = mapped_sql("SELECT id AS key, title AS text FROM pages", compatible)
+    return {"normalize_full": f"SELECT key AS id, trim(regexp_replace(lower(translate(text, '{before}', '{after}')), '{_BLANK}', ' ', 'g')) AS normalized FROM {folded}"}
