@@ -155,6 +155,9 @@ def look_alike_links(rows: DataFrame, id_column: str, columns: list[str]) -> Dat
 
 
 def look_alike_classes(rows: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
-    """(id, column, text, skeleton): one row per row of ``rows`` and name in ``columns``, its text and the consistent form of it."""
+    """(id, column, text, skeleton): one row per row of ``rows`` and name in ``columns``, its text and the consistent form of it,
+    composed."""
     texts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns])).alias("x")
-    return with_skeleton(rows.select(F.col(id_column).alias("id"), texts).select("id", "x.column", "x.text"), "text")
+    formed = with_skeleton(rows.select(F.col(id_column).alias("id"), texts).select("id", "x.column", "x.text"), "text")
+    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce("skeleton", F.lit("")), F.lit(False))
+    return formed.withColumn("skeleton", F.when(F.col("skeleton").isNotNull(), composed))

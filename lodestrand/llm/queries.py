@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrand.llm import confusables, mixing, neardup, toxicity
 from lodestrand.llm import tokenize as tokenizer
-from lodestrand.llm.oracle import ORACLES  # noqa: F401
+from lodestrand.llm.oracle import ORACLES, late_oracles  # noqa: F401
 from lodestrand.sources.work import table
 
 BODY = {"threshold": 0.7, "width": 5, "least": 200}
