@@ -171,15 +171,16 @@ def _entities_sql(c: str) -> str:
 
 
 # Lua that SQL's expressions can cut: comments to the end of a line, strings without escapes, flat tables
-_LUA_TOKEN = r"--[^\n]*|\[\[(?s:.*?)\]\]|''[^'']*''|\"[^\"]*\"|function\s+[A-Za-z_][A-Za-z0-9_.:]*\s*\(|require\s*\(|return\s*\{|return\s+[A-Za-z_][A-Za-z0-9_]*\s*;?\s*\z|[A-Za-z_][A-Za-z0-9_]*\s*=|[{}\[\]=]"
+_LUA_TOKEN = r"--[^\n]*|\[\[(?s:.*?)(?:\]\]|\z)|''[^'']*(?:''|\z)|\"[^\"]*(?:\"|\z)|function\s+[A-Za-z_][A-Za-z0-9_.:]*\s*\(|require\s*\(|return\s*\{|return\s+[A-Za-z_][A-Za-z0-9_]*\s*;?\s*\z|[A-Za-z_][A-Za-z0-9_]*\s*=|[{}\[\]=]"
 # symbols (id, kind, value, priority, place) of every live module; places order the symbols of a module
 LUA_SYMBOLS_SQL = rf"""WITH cuts AS (SELECT id, regexp_extract_all(content, '{_LUA_TOKEN}') AS cut FROM pages WHERE NOT coalesce(deleted, false) AND lower(contentModel) = 'scribunto' AND content IS NOT NULL),
 marks AS (SELECT id, unnest(cut) AS tok, unnest(generate_series(1, len(cut))) AS i FROM cuts),
 seen AS (SELECT *, max(CASE WHEN tok LIKE 'return%{{' THEN i END) OVER w AS opened, max(CASE WHEN tok = '}}' THEN i END) OVER w AS closed, lag(tok) OVER o AS prior, lead(tok) OVER o AS nxt, lead(tok, 2) OVER o AS nxt2
   FROM marks WHERE tok NOT LIKE '--%' WINDOW w AS (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY id ORDER BY i)),
-texts AS (SELECT *, CASE WHEN left(tok, 1) IN (chr(39), chr(34)) THEN trim(substr(tok, 2, length(tok) - 2)) WHEN tok LIKE '[[%' THEN trim(substr(tok, 3, length(tok) - 4)) END AS text,
-  CASE WHEN left(nxt, 1) IN (chr(39), chr(34)) THEN trim(substr(nxt, 2, length(nxt) - 2)) END AS loaded, opened > coalesce(closed, 0) AS inside,
-  regexp_extract(tok, '^function\s+(.*?)\s*\($', 1) AS fn, regexp_extract(tok, '^return\s+([A-Za-z_][A-Za-z0-9_]*)\s*;?\s*$', 1) AS root FROM seen),
+bare AS (SELECT *, CASE WHEN left(tok, 1) IN (chr(39), chr(34)) THEN replace(tok, left(tok, 1), '') WHEN tok LIKE '[[%' THEN regexp_replace(tok, '^\[\[|\]\]$', '', 'g') END AS raw,
+  CASE WHEN left(nxt, 1) IN (chr(39), chr(34)) THEN replace(nxt, left(nxt, 1), '') END AS needed FROM seen),
+texts AS (SELECT *, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS text, regexp_replace(needed, '^\s+|\s+$', '', 'g') AS loaded, opened > coalesce(closed, 0) AS inside,
+  regexp_extract(tok, '^function\s+(.*?)\s*\($', 1) AS fn, regexp_extract(tok, '^return\s+([A-Za-z_][A-Za-z0-9_]*)\s*;?\s*$', 1) AS root FROM bare),
 roots AS (SELECT id, root FROM texts WHERE root <> ''),
 found AS (SELECT id, 'function' AS kind, fn AS value, 4 AS priority, i AS place FROM texts WHERE fn <> ''
   UNION ALL SELECT id, 'return-key', text, 3, i FROM texts WHERE inside AND prior = '[' AND nxt = ']' AND nxt2 = '=' AND text IS NOT NULL
